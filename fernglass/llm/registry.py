@@ -6,14 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op3_bpe
+from .chat import op5_chat_formatting
+from .licences import op7_licence_scan
+from .packing import op4_packing
 from .quality import op9_quality_rules
 from .sharding import op8_sharding
+from .topk import op10_topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_bpe": op3_bpe,
+        "op4_packing": op4_packing,
+        "op5_chat_formatting": op5_chat_formatting,
+        "op7_licence_scan": op7_licence_scan,
         "op8_sharding": op8_sharding,
         "op9_quality_rules": op9_quality_rules,
+        "op10_topk": op10_topk,
     }
 
 
