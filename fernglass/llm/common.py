@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shared import cut, shared_dir  # noqa: F401  re-exported
+
 #: Words of the data contracts: runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
@@ -30,21 +30,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir; a local one only where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="fernglass-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+def numbered(rows: DataFrame, column: str = "doc_id") -> DataFrame:
+    """`column` as a long that pandas can hold exactly, with `no_id` where it is null."""
+    return rows.withColumns({column: F.coalesce(F.col(column).cast("long"), F.lit(0).cast("long")), "no_id": F.col(column).isNull()})
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and read it back: later stages and retries start from the files,
-    so a lost executor never means computing the whole lineage again."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def renulled(column: str = "doc_id") -> Column:
+    return F.when(~F.col("no_id"), F.col(column)).alias(column)
 
 
 def shuffles(spark: SparkSession, times: int = 1) -> int:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op3_bpe
 from .chat import op5_chat_formatting
+from .jaccard import op6_ngram_jaccard_join
 from .licences import op7_licence_scan
 from .packing import op4_packing
 from .quality import op9_quality_rules
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe": op3_bpe,
         "op4_packing": op4_packing,
         "op5_chat_formatting": op5_chat_formatting,
+        "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
         "op7_licence_scan": op7_licence_scan,
         "op8_sharding": op8_sharding,
         "op9_quality_rules": op9_quality_rules,
