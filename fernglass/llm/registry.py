@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op3_bpe
 from .chat import op5_chat_formatting
+from .ctw import op2_lm_scoring
 from .jaccard import op6_ngram_jaccard_join
 from .licences import op7_licence_scan
 from .packing import op4_packing
@@ -18,6 +19,7 @@ from .topk import op10_topk
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_lm_scoring": op2_lm_scoring,
         "op3_bpe": op3_bpe,
         "op4_packing": op4_packing,
         "op5_chat_formatting": op5_chat_formatting,
