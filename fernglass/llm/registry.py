@@ -13,12 +13,14 @@ from .jaccard import op6_ngram_jaccard_join
 from .licences import op7_licence_scan
 from .packing import op4_packing
 from .quality import op9_quality_rules
+from .secret_scan import op1_secret_scan
 from .sharding import op8_sharding
 from .topk import op10_topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secret_scan": op1_secret_scan,
         "op2_lm_scoring": op2_lm_scoring,
         "op3_bpe": op3_bpe,
         "op4_packing": op4_packing,
