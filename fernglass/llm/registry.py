@@ -11,6 +11,7 @@ from .chat import op5_chat_formatting
 from .ctw import op2_lm_scoring
 from .jaccard import op6_ngram_jaccard_join
 from .licences import op7_licence_scan
+from .oracles import SQL
 from .packing import op4_packing
 from .quality import op9_quality_rules
 from .secret_scan import op1_secret_scan
@@ -34,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
