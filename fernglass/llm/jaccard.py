@@ -3,12 +3,12 @@
 1. Every text becomes the set of its distinct word shingles (64-bit hashes). Texts with equal sets share a set id
    and are one vertex from there on, however many copies there are.
 2. A count sketch of fixed size gives one global order, rare shingles first. It decides speed only: any order is
-   right. Two sets that link share a shingle among the first n - ceil(t*n) + 1 of either (prefix filter). The
-   prefix shingles are dealt by hash; inside a shingle's list sets are chained in order of size, and a chain
-   breaks where sizes differ too much for a link. A list of m sets gives m - 1 edges, never its pairs.
+   right. Two sets that link share a shingle among the first n - ceil(t*n) + 1 of either (prefix filter), and in
+   the smaller set it stands earlier still. The prefix shingles are dealt by hash; inside a shingle's list sets
+   are chained in order of size, and a chain breaks where sizes differ too much for a link. A list of m sets
+   gives m - 1 edges at most, never its pairs.
 3. Connected components of these edges are families: linked sets are always in one family, and most sets are in
-   none. Only the sets of families are made again and sent, once each, to their family's task. A family above
-   BLOCK shingles is cut by size class and hash into blocks, and pairs of blocks that can link get a task each,
+   none. Only the texts of families are sent, to their family's task, and made sets there. A family above BLOCK shingles is cut by size class and hash into blocks, and pairs of blocks that can link get a task each,
    so a task's memory is bounded and no pair is left out.
 4. In a task the family's shingles form an inverted index. For a query set the T-occurrence search sets the L
    longest lists aside, merges the short ones on a heap, and looks candidates with T - L hits up in the long
@@ -16,8 +16,8 @@
    component are not compared again (they cannot change the result), which keeps thousands of near copies linear.
 5. Components of the links, joined back to all documents by set id.
 
-Edge cases: null and empty texts have no shingles and link with nothing; a null doc_id takes part by its text but
-never is a component's smallest id (alone it has a null component); repeated rows are copies; an empty table gives
+Edge cases: null and empty texts have no shingles and link with nothing; a null doc_id takes part only
+through documents of an equal set (without one its component is null); repeated rows are copies; an empty table gives
 an empty result; other columns are ignored.
 """
 
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -89,32 +89,39 @@ def rarity(counts: np.ndarray) -> np.ndarray:
 
 
 def prefix_rows(docs: DataFrame, order: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(h, sid, n): the prefix shingles of every set."""
+    """(h, sid, m): the prefix shingles of every set; m is twice its size, plus 1 where the shingle stands too late
+    to be the first that the set shares with a set of its size or larger."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         order = shared.value
         for frame in small_batches(frames, "text"):
-            hs, sids, ns = [], [], []
+            hs, sids, ms = [], [], []
             for s in shingle_sets(frame["text"].tolist(), width):
                 n = len(s)
                 if n:
                     first = np.argsort(order[_cell(s)], kind="stable")[: n - overlap_least(n, percent) + 1]
                     hs.append(s[first])
                     sids.append(np.full(len(first), _set_id(s), np.int64))
-                    ns.append(np.full(len(first), n, np.int32))
+                    ms.append(2 * n + (np.arange(len(first)) > n - overlap_needed(n, n, percent)))
             if hs:
-                yield pd.DataFrame({"h": np.concatenate(hs).view(np.int64), "sid": np.concatenate(sids), "n": np.concatenate(ns)})
+                yield pd.DataFrame({"h": np.concatenate(hs).view(np.int64), "sid": np.concatenate(sids), "m": np.concatenate(ms)})
 
-    return docs.select("text").mapInPandas(run, "h long, sid long, n int")
+    return docs.select("text").mapInPandas(run, "h long, sid long, m int")
 
 
 def family_edges(prefixes: DataFrame, percent: int) -> DataFrame:
-    """(src, dst): neighbours by size in a shingle's list, where their sizes allow a link."""
-    by_size = Window.partitionBy("h").orderBy("n", "sid")
-    before = prefixes.withColumns({"p": F.lag("sid").over(by_size), "pn": F.lag("n").over(by_size)})
-    close = before.where((F.col("p") != F.col("sid")) & (F.col("pn") * 100 >= F.col("n") * percent))
-    return close.select(F.col("p").alias("src"), F.col("sid").alias("dst")).distinct()
+    """(src, dst): in a shingle's list, ordered by size, each set with the last early one before it, where their sizes
+    allow a link.
+
+    The smaller set of a link has its first shared shingle early (m even), so both sets of a link hang on one
+    chain of early sets: what lies between them in size is close enough in size too."""
+    by_size = Window.partitionBy("h").orderBy("m", "sid").rowsBetween(Window.unboundedPreceding, -1)
+    early = F.when(F.col("m") % 2 == 0, F.struct("sid", "m"))
+    before = prefixes.withColumn("p", F.last(early, ignorenulls=True).over(by_size))
+    n = lambda m: F.floor(m / 2)
+    close = before.where((F.col("p.sid") != F.col("sid")) & (n(F.col("p.m")) * 100 >= n(F.col("m")) * percent))
+    return close.select(F.col("p.sid").alias("src"), F.col("sid").alias("dst")).distinct()
 
 
 def _bloom_bits(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -136,8 +143,9 @@ def bloom(ids: DataFrame, bits: int) -> np.ndarray:
     return combined(ids.mapInPandas(run, "block int, data binary"), bits // 8, "u1", "bitwise_or")
 
 
-def family_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """(sid, fam, n, hashes): `members(doc_id, sid, fam)` with the sets of their texts, made again from the text."""
+def texts_of(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(doc_id, text) of the members, and of a few others that the bloom filter lets through: the table is filtered
+    where it is read, so only families' texts are ever dealt out."""
     spark = docs.sparkSession
     bits = 1 << 19
     while bits < 16 * members.count() and bits < BLOOM_BITS:
@@ -148,44 +156,37 @@ def family_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
         held = shared.value
         for frame in frames:
             at = _bloom_bits(frame["doc_id"].to_numpy(), bits)
-            frame = frame[((held[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0)]
-            for part in small_batches(iter([frame.reset_index(drop=True)]), "text"):
-                if len(part):
-                    sets = shingle_sets(part["text"].tolist(), width)
-                    yield pd.DataFrame({"doc_id": part["doc_id"], "made": [_set_id(s) for s in sets], "n": [len(s) for s in sets], "hashes": [s.tobytes() for s in sets]})
+            yield frame[((held[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0)]
 
-    made = docs.select("doc_id", "text").where("doc_id is not null").mapInPandas(run, "doc_id long, made long, n long, hashes binary")
-    found = made.join(members, "doc_id").where("made = sid")
-    return found.groupBy("sid").agg(F.first("fam").alias("fam"), F.first("n").alias("n"), F.first("hashes").alias("hashes"))
+    return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInPandas(run, "doc_id long, text string")
 
 
-def cells_of(sets: DataFrame) -> DataFrame:
-    """Deal families to tasks: (fam, c1, c2, side, alone, sid, n, hashes). Cell (c1, c2) compares block c1 with c2."""
-    slim = sets.select("sid", "fam", "n")
+def cells_of(members: DataFrame) -> DataFrame:
+    """Deal families to tasks: (doc_id, sid, fam, c1, c2, side, alone). Cell (c1, c2) compares block c1 with c2."""
     cls = F.floor(F.log("n") / math.log(1.34)).cast("int")  # sets that link are at most one class apart
-    sizes = slim.groupBy("fam", cls.alias("cls")).agg(F.sum("n").alias("held"))
+    sizes = members.groupBy("fam", cls.alias("cls")).agg(F.sum("n").alias("held"))
     parts = sizes.withColumns({"k": F.ceil(F.col("held") / BLOCK).cast("int"), "all": F.sum("held").over(Window.partitionBy("fam"))})
     by_class = Window.partitionBy("fam").orderBy("cls")
     near = lambda f, d: F.when(f("cls").over(by_class) == F.col("cls") + d, f("k").over(by_class)).otherwise(0)
     parts = parts.withColumns({"below": near(F.lag, -1), "above": near(F.lead, 1)}).withColumn("alone", F.col("all") <= BLOCK)
-    dealt = sets.withColumn("cls", cls).join(parts.select("fam", "cls", "k", "below", "above", "alone"), ["fam", "cls"])
+    dealt = members.withColumn("cls", cls).join(parts.select("fam", "cls", "k", "below", "above", "alone"), ["fam", "cls"])
     block = lambda c, s: c.cast("long") * (1 << 32) + s
-    dealt = dealt.withColumn("own", F.when(F.col("alone"), F.lit(0).cast("long")).otherwise(block(F.col("cls"), F.pmod(F.xxhash64("sid"), F.col("k")))))
-    others = F.concat(
-        F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda s: block(F.col("cls"), s)),
-        F.when(F.col("below") > 0, F.transform(F.sequence(F.lit(0), F.col("below") - 1), lambda s: block(F.col("cls") - 1, s))).otherwise(F.array().cast("array<long>")),
-        F.when(F.col("above") > 0, F.transform(F.sequence(F.lit(0), F.col("above") - 1), lambda s: block(F.col("cls") + 1, s))).otherwise(F.array().cast("array<long>")),
-    )
-    meets = dealt.withColumn("other", F.explode(F.when(F.col("alone"), F.array(F.lit(0).cast("long"))).otherwise(others)))
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<long>")
+    own = F.when(F.col("alone"), zero).otherwise(block(F.col("cls"), F.pmod(F.xxhash64("sid"), F.col("k"))))
+
+    def blocks(number: str, shift: int) -> Column:
+        of = F.transform(F.sequence(F.lit(0), F.greatest(F.col(number), F.lit(1)) - 1), lambda s: block(F.col("cls") + shift, s))
+        return F.when(F.col(number) > 0, of).otherwise(none)
+
+    others = F.when(F.col("alone"), F.array(zero)).otherwise(F.concat(blocks("k", 0), blocks("below", -1), blocks("above", 1)))
+    meets = dealt.withColumn("own", own).withColumn("other", F.explode(others))
     return meets.select(
+        "doc_id",
+        "sid",
         "fam",
         F.least("own", "other").alias("c1"),
         F.greatest("own", "other").alias("c2"),
         (F.col("own") > F.col("other")).cast("int").alias("side"),
-        "alone",
-        "sid",
-        "n",
-        "hashes",
     )
 
 
@@ -265,21 +266,24 @@ def links_of(sids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], crosse
     return out
 
 
-def family_links(cells: DataFrame, percent: int) -> DataFrame:
-    """(src, dst, alone): spanning links of every cell."""
+def family_links(cells: DataFrame, width: int, percent: int) -> DataFrame:
+    """(src, dst): spanning links of every cell; the sets are made from the texts where they are compared."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for (_, c1, c2), parts in sorted_groups(batches, ["fam", "c1", "c2"]):
-            rows = pd.concat(list(parts), ignore_index=True)
-            sets = [np.frombuffer(h, np.uint64) for h in rows["hashes"]]
-            found = links_of(rows["sid"].to_numpy(), rows["side"].to_numpy(), sets, c1 != c2, percent)
-            if found:
-                src, dst = zip(*found, strict=True)
-                yield pd.DataFrame({"src": src, "dst": dst, "alone": bool(rows["alone"].iloc[0])})
+            found: dict[int, tuple[np.ndarray, int]] = {}
+            for part in parts:
+                for sid, side, s in zip(part["sid"], part["side"], shingle_sets(part["text"].tolist(), width), strict=True):
+                    if sid not in found and _set_id(s) == sid:  # rows that repeat an id may have other texts
+                        found[sid] = s, side
+            sids, sides = np.array(list(found), np.int64), np.array([side for _, side in found.values()])
+            links = links_of(sids, sides, [s for s, _ in found.values()], c1 != c2, percent)
+            if links:
+                yield pd.DataFrame(links, columns=["src", "dst"])
 
     key = ["fam", "c1", "c2"]
     dealt = cells.repartition(shuffles(cells.sparkSession), *key).sortWithinPartitions(*key)
-    return dealt.mapInPandas(run, "src long, dst long, alone boolean")
+    return dealt.mapInPandas(run, "src long, dst long")
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -288,10 +292,10 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     order = combined(made.where("block >= 0").select("block", "data"), CELLS, "u4", "add", rarity)
     every = made.where("block < 0").select("doc_id", "no_id", "n", "sid")
     families = connected_components(cut(family_edges(prefix_rows(docs, order, width, percent), percent)), cut=cut)
-    ids = every.where("not no_id").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+    ids = every.where("not no_id").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     members = cut(ids.join(families.select(F.col("node").alias("sid"), F.col("component").alias("fam")), "sid"))
-    links = cut(family_links(cells_of(family_sets(docs, members, width)), percent))
-    roots = connected_components(links.select("src", "dst"), cut=cut).select(F.col("node").alias("sid"), F.col("component").alias("root"))
+    cells = texts_of(docs, members).join(cells_of(members), "doc_id")
+    roots = connected_components(cut(family_links(cells, width, percent)), cut=cut).select(F.col("node").alias("sid"), F.col("component").alias("root"))
     placed = every.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     # Documents without shingles stay alone: they get keys of their own, so they meet nowhere.
     placed = placed.withColumn("root", F.when(F.col("n") == 0, F.xxhash64("doc_id", "no_id")).otherwise(F.col("root")))
