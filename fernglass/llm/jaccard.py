@@ -44,6 +44,8 @@ WIDTH, PERCENT = 5, 75
 CELLS, BLOCK = 1 << 22, 1 << 20
 #: DivideSkip's weight of a list's length in choosing how many lists to set aside.
 MU = 0.0085
+#: Most rows (of 60 bytes) of a table of places that is broadcast.
+SMALL = 250_000
 #: Largest bloom filter, in bits; fuller ones only let more rows through to the join that decides.
 BLOOM_BITS = 1 << 27
 
@@ -294,7 +296,10 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     families = connected_components(cut(family_edges(prefix_rows(docs, order, width, percent), percent)), cut=cut)
     ids = every.where("not no_id").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     members = cut(ids.join(families.select(F.col("node").alias("sid"), F.col("component").alias("fam")), "sid"))
-    cells = texts_of(docs, members).join(cells_of(members), "doc_id")
+    cells = cut(cells_of(members))
+    if cells.count() <= SMALL:  # places of the texts by broadcast; beyond that size they are joined by a shuffle
+        cells = F.broadcast(cells)
+    cells = texts_of(docs, members).join(cells, "doc_id")
     roots = connected_components(cut(family_links(cells, width, percent)), cut=cut).select(F.col("node").alias("sid"), F.col("component").alias("root"))
     placed = every.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     # Documents without shingles stay alone: they get keys of their own, so they meet nowhere.
