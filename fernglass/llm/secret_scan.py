@@ -1,6 +1,6 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-Candidates are long runs of token characters and values assigned to a secret-like name. The forest judges each by
+Candidates are long runs of token characters and quoted values. The forest judges each by
 its length, character transitions, dictionary coverage, the path it stands in and the words beside it. It is
 trained (in the JVM) from labelled findings, then its trees are written out as one SQL expression, so scanning is
 one pass over the table inside the row: no shuffle, no Python, no model to ship.
@@ -23,9 +23,12 @@ from pyspark.sql import functions as F
 
 from .common import let, table
 
-#: A run of token characters, or anything of 8 and more that is assigned to a secret-like name.
+#: Names of secrets.
 NAME = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer)"
-CANDIDATE = rf"[A-Za-z0-9+/_=.~-]{{16,}}|(?<={NAME}[\"']? ?[:=] ?[\"'])[^\s\"']{{8,}}(?=[\"'])"
+#: A run of token characters, or anything of 8 and more in quotes. Looks back by one character at most: a longer look
+#: at every place would cost more than all the rest.
+TOKEN = "[A-Za-z0-9+/_=.~-]"
+CANDIDATE = rf"(?<!{TOKEN}){TOKEN}{{16,}}+|(?<=[\"'])[^\s\"']{{8,}}+(?=[\"'])"
 #: Characters looked at on either side.
 NEAR = 48
 FEATURES = (
@@ -73,8 +76,8 @@ def features(value: Column, before: Column, after: Column, path: Column) -> Colu
 
 def candidates(text: Column, path: Column, judge) -> Column:
     """array of struct(start, length, value, score) for every candidate of a text, score = judge(features)."""
-    found = F.regexp_extract_all(text, F.lit(f"(?i){CANDIDATE}"), F.lit(0))
-    between = F.split(text, f"(?i){CANDIDATE}")
+    found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
+    between = F.split(text, CANDIDATE)
 
     def place(values: Column, gaps: Column) -> Column:
         # starts[k]: all gaps up to k and all values before it
@@ -102,7 +105,7 @@ def candidates(text: Column, path: Column, judge) -> Column:
 
     none = F.array().cast("array<struct<start:bigint,length:bigint,value:string,score:double>>")
     placed = let(found, lambda values: let(between, lambda gaps: place(values, gaps)))
-    return F.when(text.rlike(f"(?i){CANDIDATE}"), placed).otherwise(none)
+    return F.when(text.rlike(CANDIDATE), placed).otherwise(none)
 
 
 def sample_findings(spark: SparkSession, rows: int = 4096) -> DataFrame:
@@ -123,7 +126,7 @@ def sample_findings(spark: SparkSession, rows: int = 4096) -> DataFrame:
             F.substring(digest, F.lit(1), F.lit(32)),
             F.substring(digest, F.lit(1), F.lit(64)),
             F.substring(base64, F.lit(1), F.lit(40)),
-            F.substring(base64, F.lit(1), (r("len", 24) + 20).cast("int")),
+            F.substring(base64, F.lit(1), (r("len", 34) + 10).cast("int")),
             F.concat(F.lit("AKIA"), F.upper(F.substring(F.regexp_replace(base64, "[^A-Za-z]", "Q"), 1, 16))),
             F.concat(F.lit("ghp_"), F.substring(F.regexp_replace(base64, "[^A-Za-z0-9]", "x"), 1, 36)),
             F.concat(F.lit("sk_live_"), F.substring(F.regexp_replace(base64, "[^A-Za-z0-9]", "k"), 1, 24)),
