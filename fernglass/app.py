@@ -53,7 +53,7 @@ def run(spark: SparkSession, settings: Settings, allow_overwrite: bool = False)
     result = cut(dedup.deduplicate(items))
     planned = cut(layout.plan(result, settings, destination_listing(spark, settings.destination or "")))
     done = cut(apply(planned, settings, allow_overwrite))
-    filed = done.agg(F.count_if("done").alias("filed"), F.count_if("error is not null").alias("failed")).first().asDict()
+    filed = done.agg(F.count_if("done").alias("filed"), F.count_if(F.col("error").isNotNull()).alias("failed")).first().asDict()
     return counts | {"duplicates": result.where("is_duplicate").count()} | filed | {"seconds": round(time.monotonic() - began, 3)}
 
 
