@@ -1,4 +1,4 @@
-"""The registered queries of the reference-level operators, with their SQL."""
+"""The registered queries of the media operators, with their SQL."""
 
 from __future__ import annotations
 
