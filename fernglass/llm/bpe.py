@@ -8,7 +8,7 @@ the matrix. Pair ranks come from an open-addressing hash table in arrays. Pieces
 same rule with minima per segment, so that a round costs a segment and not the piece.
 
 Edge cases: a null text counts as empty (no ids); texts are encoded whole; a rank file without all 256 single
-bytes is refused; the memory of a worker's chunk cache is bounded by `CACHE_BYTES`, after which it starts anew;
+bytes is refused; the memory of a worker's chunk cache is bounded by `CACHE_BYTES`, after which only the chunks of the texts at hand stay;
 repeated rows give equal rows; an empty table gives an empty result.
 """
 
@@ -30,7 +30,7 @@ from .common import table
 #: Longest piece for a matrix; longer ones are merged by segments.
 LONGEST = 256
 SEGMENT = 256
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 224 << 20
 NO_RANK = np.int64(1 << 40)
 #: A space that no word follows: there the quick cut does not hold.
 LOOSE_SPACE = re.compile(r" (?=\s|$)")
@@ -184,11 +184,18 @@ def ranks_at(path: str) -> Ranks:
 
 
 def chunks_of(text: str) -> list[str] | None:
-    """Cut before each space that a word follows; None where loose spaces would need more care."""
+    """Keys of a text's chunks: cut before each space that a word follows. A key without a space stands for a
+    chunk that begins with one, a key that begins with a space for what follows it: so the words of a text are
+    keys as they are. None where loose spaces need more care."""
     if LOOSE_SPACE.search(text):
         return None
-    first, *rest = text.split(" ")
-    return [first, *[" " + chunk for chunk in rest]]
+    keys = text.split(" ")
+    keys[0] = " " + keys[0]
+    return keys
+
+
+def chunk_of(key: str) -> str:
+    return key[1:] if key[:1] == " " else " " + key
 
 
 class ChunkCache:
@@ -196,20 +203,27 @@ class ChunkCache:
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], split: Callable[[str], list[str]]):
         self.encode, self.split = encode, split
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
         self.held = 0
 
+    @staticmethod
+    def cost(entry: tuple[str, bytes]) -> int:
+        """Bytes that an entry takes, about."""
+        return len(entry[0]) + len(entry[1]) + 180
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text."""
         cut = [chunks_of(t) for t in texts]
-        cut = [self.split(t) if c is None else c for t, c in zip(texts, cut, strict=True)]
-        if self.held > CACHE_BYTES:
-            self.known, self.held = {"": b""}, 0
-        new = list(set().union(*cut).difference(self.known)) if cut else []
+        cut = [[" " + p for p in self.split(t)] if c is None else c for t, c in zip(texts, cut, strict=True)]
+        needed: set[str] = set().union(*cut)
+        if self.held > CACHE_BYTES:  # what the texts at hand share with earlier ones is worth keeping
+            self.known = {c: self.known[c] for c in needed if c in self.known}
+            self.held = sum(map(self.cost, self.known.items()))
+        new = list(needed.difference(self.known))
         if new:
-            found = self.encode(new)
-            self.known.update(zip(new, found, strict=True))
-            self.held += sum(map(len, found)) + sum(map(len, new)) + 180 * len(new)
+            added = dict(zip(new, self.encode([chunk_of(k) for k in new]), strict=True))
+            self.known.update(added)
+            self.held += sum(map(self.cost, added.items()))
         known = self.known.__getitem__
         return [b"".join(map(known, c)) for c in cut]
 

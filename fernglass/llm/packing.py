@@ -19,6 +19,7 @@ gives an empty result.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -54,7 +55,8 @@ def chunk_cache(path: str) -> ChunkCache:
     own = tokenizer(path)
 
     def encode(chunks: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in own.encode_batch(chunks, add_special_tokens=False)]
+        found = [e.ids for e in own.encode_batch_fast(chunks, add_special_tokens=False)]
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
 
     return ChunkCache(encode, lambda text: [text])
 
