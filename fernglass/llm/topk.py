@@ -24,6 +24,8 @@ from .common import shuffles, sorted_groups, table
 
 #: Candidates and queries in one matrix product, and queries that a grid cell holds on average.
 TILE, ROWS, CELL_QUERIES = 2048, 1024, 8192
+#: Stands for "no candidate": below every score that `products` can give. Its negative is an int64 too, so it sorts last.
+NONE = -((1 << 63) - 1)
 
 
 def integer_vectors(rows: DataFrame, id_column: str, vector: str, scale: int) -> DataFrame:
@@ -40,7 +42,7 @@ def products(queries: np.ndarray, tile: np.ndarray) -> np.ndarray:
     most = int(np.abs(queries).max(initial=0)) * int(np.abs(tile).max(initial=0)) * max(1, queries.shape[1])
     if most < 1 << 53:
         return (queries.astype(np.float64) @ tile.astype(np.float64).T).astype(np.int64)
-    if most < 1 << 63:
+    if most < -NONE:
         return queries @ tile.T
     raise OverflowError("inner products do not fit in 64 bits")
 
@@ -57,10 +59,6 @@ def _select(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np
     return np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
 
 
-#: Stands for "no candidate": below every score that `products` can give.
-NONE = np.iinfo(np.int64).min
-
-
 def without_repeats(part: pd.DataFrame, last: tuple | None) -> tuple[pd.DataFrame, tuple]:
     """Drop rows equal to the row before (the part is sorted by kind, id and vec); `last` is the row before the part."""
     keep = np.ones(len(part), bool)

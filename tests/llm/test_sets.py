@@ -31,6 +31,22 @@ def test_topk_against_brute_force(spark):
     assert topk.top_k(topk.integer_vectors(frame.limit(0), "vec_id", "embedding", 256), topk.F.col("id") % 50 == 0, 5, 2).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_topk_where_own_rows_share_a_cell_with_the_best(spark, parts):
+    draw = random.Random(11)
+    rows = [(i, [draw.randint(-9, 9) / 4 for _ in range(3)]) for i in range(60)]
+    rows += [(100, [k / 4, 1.0, -k / 8]) for k in range(40)] + [(150, [0.5, 0.25, 4.0, 1.0]), (151, [1.0, 1.0, 1.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = topk.top_k(topk.integer_vectors(frame, "vec_id", "embedding", 256), topk.F.col("id") % 50 == 0, 5, parts, 1).collect()
+    whole = sorted({(i, *[math.floor(256 * x) for x in v]) for i, v in rows})
+    want = []
+    for q in sorted({i for i, *_ in whole if i % 50 == 0}):
+        pairs = [(-sum(x * y for x, y in zip(a, b, strict=True)), j) for i, *a in whole if i == q for j, *b in whole if j != q and len(a) == len(b)]
+        want += [(q, n + 1, j, -s) for n, (s, j) in enumerate(sorted(pairs)[:5])]
+    assert {q for q, *_ in want} == {0, 50, 100, 150}
+    assert sorted(tuple(r) for r in found) == sorted(want)
+
+
 def cheapest(own):
     """Least cost over all ways to assign roles, by trying them all."""
     best = math.inf
