@@ -49,6 +49,8 @@ AGREE = 0.7
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words before A-Z are lowered.
 ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words, before A-Z are lowered.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 
 def index() -> dict[str, list[tuple[int, int]]]:
@@ -62,6 +64,16 @@ def index() -> dict[str, list[tuple[int, int]]]:
     return found
 
 
+def gate_pattern() -> str:
+    """Found in every text with a label or a place: those need a base phrase or a mandatory one, word after word.
+
+    A phrase that holds another one of these asks for no more than that one does, so it is left out."""
+    phrases = sorted({*PHRASES, *(tuple(must.split()) for _, _, must in TEMPLATES)}, key=lambda p: (len(p), p))
+    within = lambda a, b: any(b[k : k + len(a)] == a for k in range(len(b) - len(a) + 1))
+    least = [b for n, b in enumerate(phrases) if not any(within(a, b) for a in phrases[:n])]
+    return "(?i)" + "|".join(f"{BETWEEN}+".join(phrase) for phrase in least)
+
+
 def _strings(words: list[str]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
@@ -140,8 +152,7 @@ def licence_scan(rows: DataFrame, text: str = "text") -> DataFrame:
         return let(rare, verdict)
 
     words = F.regexp_extract_all(F.translate(value, UPPER, LOWER), F.lit(WORD), F.lit(0))
-    # Every template and every base phrase holds one of these words: a file without them needs no positions.
-    gate = value.rlike(r"(?i)licen[sc]e|permission|redistribution|unencumbered")
+    gate = value.rlike(gate_pattern())
     found = rows.withColumns(
         {
             "n_words": F.regexp_count(value, F.lit(ANY_CASE_WORD)).cast("long"),

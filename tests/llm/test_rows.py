@@ -108,6 +108,40 @@ def test_licence_templates(spark):
     assert found == {i: label for i, (_, label) in texts.items()}
 
 
+def brute_templates(text):
+    """Labels and score by laying every template over every place of the text."""
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(low))
+    labels, best = set(), 0.0
+    for name, body, must in licences.TEMPLATES:
+        body, must = body.split(), must.split()
+        at = next(p for p in range(len(body)) if body[p : p + len(must)] == must)
+        for i in range(-len(body), len(words)):
+            laid = [words[i + p] if 0 <= i + p < len(words) else None for p in range(len(body))]
+            share = sum(a == b for a, b in zip(laid, body, strict=True)) / len(body)
+            if laid[at : at + len(must)] == must and share >= licences.AGREE:
+                labels.add(name)
+                best = max(best, share)
+    return ",".join(sorted(labels)), best
+
+
+def test_licence_templates_without_the_word_licence(spark):
+    texts = [
+        "Released under CC BY-NC 4.0",
+        "x y CC BY-SA 4.0",
+        "RIGHTS to use, copy, modify, and/or distribute this software for any purpose with\nor without FEE is hereby granted",
+        "This work is shared under a Creative\tCommons Attribution-NonCommercial",
+        "Copying and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "This is free, unencumbered_software, and unencumbered software",
+        "This is free and unencumbered-software released into the public domain",
+        "accept by sand 4.0, a fee, source and binary, creative commons",
+    ]
+    found = {r.doc_id: (r.labels, r.score) for r in licences.licence_scan(docs(spark, enumerate(texts))).collect()}
+    assert [found[i][0] for i in range(len(texts))] == ["cc-by-nc", "cc-by-sa", "isc", "cc-by-nc", "bsd", "", "unlicense", ""]
+    for i, text in enumerate(texts):
+        assert found[i] == (brute_templates(text)[0], pytest.approx(brute_templates(text)[1]))
+
+
 @pytest.fixture(scope="module")
 def trees(spark):
     return secret_scan.train(secret_scan.sample_findings(spark, 1500), trees=8)
