@@ -309,12 +309,31 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     return out.select(renulled(), F.col("n").alias("n_shingles"), "component_id")
 
 
+def _first_by(rows: DataFrame, key: str) -> DataFrame:
+    """One row of each `key`; each task passes on one of its own at most, so a key of many rows makes no hot task."""
+    nth = F.row_number().over(Window.partitionBy(key).orderBy("text"))
+    return rows.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+
+
 def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The rows of `docs` without near copies: of each component the document with the smallest id stays, once."""
-    keep = jaccard_components(docs, width, percent).where("doc_id = component_id").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy("text")
-    kept = docs.join(keep, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
-    return kept.unionByName(docs.where("doc_id is null"))
+    """The rows of `docs` without near copies: of each component the row with the smallest id stays, once.
+
+    It goes by row, not by id: rows that share an id but have other texts are documents of their own, and so are
+    rows with a null id, which come after all others. Ties go to the smaller text; of equal ids and texts one row
+    stays. Rows without shingles link with nothing, so each of their ids and texts stays once."""
+    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+    known = docs.where("doc_id is not null").withColumn("_key", key)
+    rows = known.unionByName(cut(_first_by(docs.where("doc_id is null").withColumn("_key", key), "_key")))
+    placed = jaccard_components(rows.select(F.col("_key").alias("doc_id"), "text"), width, percent)
+    sets = placed.select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_set")).distinct()
+    ids = cut(rows.select("_key", "doc_id").distinct().join(sets, "_key"))
+    least = ids.groupBy("_set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("_least"))
+    best = ids.join(least, "_set").where(F.col("doc_id").eqNullSafe(F.col("_least.doc_id"))).groupBy("_set").agg(F.min("_key").alias("_key"), F.max("_key").alias("_other"))
+    several = ids.join(best.where("_key <> _other").select("_set"), "_set", "left_semi")
+    several = several.join(least, "_set").where(F.col("doc_id").eqNullSafe(F.col("_least.doc_id"))).select("_key", "_set")
+    by_text = rows.select("_key", "text").join(several, "_key").groupBy("_set").agg(F.min_by("_key", "text").alias("_key"))
+    keep = best.where("_key = _other").select("_key").unionByName(by_text.select("_key"))
+    return _first_by(rows, "_key").join(keep, "_key", "left_semi").select(docs.columns)
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,6 +130,22 @@ def test_jaccard_edges(spark):
     assert jaccard.jaccard_components(frame.limit(0)).count() == 0
 
 
+def test_one_of_each_goes_by_row(spark):
+    draw = random.Random(12)
+    texts = near_texts()
+    rows = [(draw.choice([None, 7, 7, 20 + i, 20 + i]), t, f"s{i}") for i, t in enumerate(texts)]
+    rows += [(None, "q r s t u v", "n"), (None, "Q r s t u v", "n"), (None, "clean and alone in its words", "n"), (7, "one of a kind under the id", "n"), rows[40], rows[40]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    groups = {}
+    for (doc_id, text, _), (i, n, root) in zip(rows, brute_components([t for _, t, _ in rows]), strict=True):
+        groups.setdefault(root if n else (doc_id, text), []).append((doc_id is None, doc_id or 0, text))
+    want = [(None if no_id else doc_id, text) for no_id, doc_id, text in (min(g, key=lambda x: (x[0], x[1], x[2] or "")) for g in groups.values())]
+    found = jaccard.one_of_each(frame)
+    assert found.columns == frame.columns
+    assert sorted(((r.doc_id, r.text) for r in found.collect()), key=repr) == sorted(want, key=repr)
+    assert jaccard.one_of_each(frame.limit(0)).count() == 0
+
+
 def test_search_sets_long_lists_aside():
     draw = np.random.default_rng(6)
     base = draw.choice(1 << 40, 200, replace=False).astype(np.uint64)
