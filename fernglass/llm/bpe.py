@@ -199,10 +199,11 @@ def chunk_of(key: str) -> str:
 
 
 class ChunkCache:
-    """Ids of chunks as little-endian bytes, encoded in batches and kept up to CACHE_BYTES."""
+    """Ids of chunks as little-endian bytes, encoded in batches and kept up to CACHE_BYTES. Texts that hold one of
+    `uncut` are not cut at spaces."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], split: Callable[[str], list[str]]):
-        self.encode, self.split = encode, split
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], split: Callable[[str], list[str]], uncut: tuple[str, ...] = ()):
+        self.encode, self.split, self.uncut = encode, split, uncut
         self.known: dict[str, bytes] = {}
         self.held = 0
 
@@ -213,7 +214,7 @@ class ChunkCache:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text."""
-        cut = [chunks_of(t) for t in texts]
+        cut = [None if any(u in t for u in self.uncut) else chunks_of(t) for t in texts]
         cut = [[" " + p for p in self.split(t)] if c is None else c for t, c in zip(texts, cut, strict=True)]
         needed: set[str] = set().union(*cut)
         if self.held > CACHE_BYTES:  # what the texts at hand share with earlier ones is worth keeping

@@ -46,9 +46,7 @@ def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(path)
 
 
 def chunk_cache(path: str) -> ChunkCache:
@@ -58,7 +56,8 @@ def chunk_cache(path: str) -> ChunkCache:
         found = [e.ids for e in own.encode_batch_fast(chunks, add_special_tokens=False)]
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
 
-    return ChunkCache(encode, lambda text: [text])
+    added = tuple(t.content for t in own.get_added_tokens_decoder().values())
+    return ChunkCache(encode, lambda text: [text], added)
 
 
 def token_pieces(rows: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, keep_ids: bool = False) -> DataFrame:

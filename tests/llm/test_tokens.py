@@ -79,6 +79,20 @@ def test_pieces_are_those_of_the_library(spark):
     assert packing.pack_documents(frame.limit(0), path, 64).count() == 0
 
 
+def test_texts_with_an_added_token_are_those_of_the_plain_library(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["<|endoftext|> a", "one two<|endoftext|>three", "a  <|endoftext|>  b \n<|endoftext|>", "x <|endoftext|><|endoftext|> y", "<|endoftext |> no mark"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in packing.pack_documents(frame, path, 64).collect()}
+    library = Tokenizer.from_file(path)
+    assert library.encode(texts[0], add_special_tokens=False).ids == [50256, 257]
+    for i, t in enumerate(texts):
+        ids = [*library.encode(t, add_special_tokens=False).ids, 0]
+        assert (rows[i].length, rows[i].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
 def least_bins(sizes, capacity):
     """The fewest bins, by trying everything."""
     sizes, best = sorted(sizes, reverse=True), [len(sizes)]
