@@ -1,13 +1,13 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-Candidates are long runs of token characters and quoted values. The forest judges each by
-its length, character transitions, dictionary coverage, the path it stands in and the words beside it. It is
+Candidates are values of any length after a secret-like name and a separator, quoted values without white space, and
+long runs of token characters, in this order where they begin at one place. The forest judges each by its length, character transitions, dictionary coverage, the path it stands in and the words beside it. It is
 trained (in the JVM) from labelled findings, then its trees are written out as one SQL expression, so scanning is
 one pass over the table inside the row: no shuffle, no Python, no model to ship.
 
 Training reads at most `max_rows` labelled rows, a documented bound; the rows with the smallest hashes are taken.
 Without labelled findings of one's own, `sample_findings` makes a labelled set from rules: digests, random
-strings and known key formats as secrets; words, placeholders, numbers, digests of files and commits as others.
+strings, passwords and known key formats as secrets; words, code, placeholders, numbers, digests of files and commits as others.
 
 Edge cases: null texts have no findings and stay null; a null path counts as ''; overlapping candidates do not
 occur (matches follow one another); repeated rows are scanned each; texts are scanned whole; an empty table gives
@@ -25,10 +25,20 @@ from .common import let, table
 
 #: Names of secrets.
 NAME = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer)"
-#: A run of token characters, or anything of 8 and more in quotes. Looks back by one character at most: a longer look
-#: at every place would cost more than all the rest.
 TOKEN = "[A-Za-z0-9+/_=.~-]"
-CANDIDATE = rf"(?<!{TOKEN}){TOKEN}{{16,}}+|(?<=[\"'])[^\s\"']{{8,}}+(?=[\"'])"
+#: A word that holds such a name, and a separator, with quotes around the word and before the value as they come. The
+#: separator is looked for first, and a word is gone through twice at most.
+WORD = r"[\w.-]"
+QUOTE = "[\"'`]"
+NAMED = (
+    rf"(?={WORD}++{QUOTE}?[ \t]*+[:=])(?i:(?={WORD}*?{NAME}){WORD}++{QUOTE}?[ \t]*+(?:=>|:=|[:=])[ \t]*+"
+    rf"(?:(?:bearer|basic)[ \t]++)?+){QUOTE}?+"
+)
+#: What follows: up to the closing quote, or without what ends a clause or closes a bracket.
+VALUE = r"(?:(?<=[\"'`])[^\s\"'`]++(?=[\"'`])|(?<![\"'`])[^\s\"'`]*[^\s\"'`,;.:)\]}>])"
+#: A named value with its name, anything of 8 and more in quotes, or a run of token characters. Looks back by one
+#: character at most: a longer look at every place would cost more than all the rest.
+CANDIDATE = rf"(?<!{WORD}){NAMED}{VALUE}|(?<=[\"'])[^\s\"']{{8,}}+(?=[\"'])|(?<!{TOKEN}){TOKEN}{{16,}}+"
 #: Characters looked at on either side.
 NEAR = 48
 FEATURES = (
@@ -78,10 +88,11 @@ def candidates(text: Column, path: Column, judge) -> Column:
     """array of struct(start, length, value, score) for every candidate of a text, score = judge(features)."""
     found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
     between = F.split(text, CANDIDATE)
+    name_of = lambda m: F.regexp_extract(m, f"^({NAMED})[^\\s\"'`]", 1)
 
-    def place(values: Column, gaps: Column) -> Column:
-        # starts[k]: all gaps up to k and all values before it
-        lengths = F.transform(values, lambda v, k: F.struct(F.length(F.get(gaps, k)).alias("g"), F.length(v).alias("v")))
+    def place(matches: Column, gaps: Column) -> Column:
+        # starts[k]: all gaps up to k and all matches before it
+        lengths = F.transform(matches, lambda m, k: F.struct(F.length(F.get(gaps, k)).alias("g"), F.length(m).alias("v")))
         empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
         starts = F.aggregate(
             lengths,
@@ -93,18 +104,23 @@ def candidates(text: Column, path: Column, judge) -> Column:
         )
 
         def finding(at: Column) -> Column:
-            def one(v: Column, k: Column) -> Column:
-                before = F.concat(F.when(F.length(F.get(gaps, k)) < NEAR, F.coalesce(F.get(values, k - 1), F.lit(""))).otherwise(F.lit("")), F.get(gaps, k))
+            def one(m: Column, k: Column) -> Column:
+                return let(name_of(m), lambda name: let(F.substring(m, F.length(name) + 1, F.length(m)), lambda v: judged(v, name, k)))
+
+            def judged(v: Column, name: Column, k: Column) -> Column:
+                gap = F.get(gaps, k)
+                before = F.concat(F.when(F.length(gap) < NEAR, F.coalesce(F.get(matches, k - 1), F.lit(""))).otherwise(F.lit("")), gap, name)
                 after = F.substring(F.get(gaps, k + 1), 1, NEAR)
                 score = let(features(v, F.substring(before, -NEAR, NEAR), after, path), judge)
-                return F.struct(F.get(at, k).cast("long").alias("start"), F.length(v).cast("long").alias("length"), v.alias("value"), score.alias("score"))
+                start = (F.get(at, k) + F.length(name)).cast("long")
+                return F.struct(start.alias("start"), F.length(v).cast("long").alias("length"), v.alias("value"), score.alias("score"))
 
-            return F.transform(values, one)
+            return F.transform(matches, one)
 
         return let(starts, finding)
 
     none = F.array().cast("array<struct<start:bigint,length:bigint,value:string,score:double>>")
-    placed = let(found, lambda values: let(between, lambda gaps: place(values, gaps)))
+    placed = let(found, lambda matches: let(between, lambda gaps: place(matches, gaps)))
     return F.when(text.rlike(CANDIDATE), placed).otherwise(none)
 
 
@@ -150,8 +166,10 @@ def sample_findings(spark: SparkSession, rows: int = 4096) -> DataFrame:
     commit = r("kind", 8) == 4
     plain = pick("plain", ["of the ", "and ", "see ", "\n", ". ", "(", "to "])
     label = F.col("id") % 2
-    named = F.concat(pick("lead", ["", "the ", "export ", "\n", "with "]), name, assign)
-    return spark.range(rows).select(
+    lead = pick("lead", ["", "the ", "export ", "\n", "with "])
+    named = F.concat(lead, name, assign)
+    long = spark.range(rows).select(
+        "id",
         F.when(label == 1, secret).otherwise(other).alias("value"),
         F.when(label == 1, F.when(own_format & (r("bare", 2) == 0), plain).otherwise(named))
         .otherwise(F.when(commit, pick("c", ["commit ", "sha1: ", "checksum=", "etag: ", "revision "])).when(r("named", 5) == 0, F.when(r("kind", 8) == 3, plain).otherwise(named)).otherwise(plain))
@@ -160,6 +178,34 @@ def sample_findings(spark: SparkSession, rows: int = 4096) -> DataFrame:
         pick("path", ["src3", "src11", "app/config.py", "tests/test_login.py", "docs/example.md", ""]).alias("path"),
         label.cast("int").alias("label"),
     )
+    # Every fourth is a short value without quotes after a name: passwords with digits and symbols; words, code, numbers.
+    symbol = pick("symbol", ["!", "&", "#", "$", "%", "@", "?", "^"])
+    digits = r("digits", 90).cast("string")
+    password = F.element_at(
+        F.array(
+            F.substring(base64, F.lit(1), (r("short", 7) + 8).cast("int")),
+            F.concat(F.substring(base64, F.lit(1), (r("short", 5) + 4).cast("int")), symbol, F.substring(base64, 20, 3), pick("last", ["!", "$", ""])),
+            F.concat(F.substring(word, 1, 6), digits, F.substring(word, 8, 4)),
+            F.concat(F.initcap(F.substring(word, 1, 5)), digits, symbol),
+        ),
+        (r("secret", 4) + 1).cast("int"),
+    )
+    plain_value = F.element_at(
+        F.array(
+            F.substring(word, F.lit(1), (r("short", 9) + 2).cast("int")),
+            F.initcap(F.substring(word, F.lit(1), (r("short", 9) + 2).cast("int"))),
+            pick("code", ["None", "null", "true", "false", "required", "optional", "str", "getpass.getpass(", "os.environ", "config.get(", "self.value", "${VALUE}"]),
+            r("small", 5000).cast("string"),
+            F.concat(F.substring(word, 1, 5), F.lit("_"), F.substring(word, 7, 5)),
+            F.concat(F.lit("https://"), F.substring(word, 1, 8), F.lit(".com/"), F.substring(word, 9, 4)),
+        ),
+        (r("other", 6) + 1).cast("int"),
+    )
+    bare = F.concat(lead, pick("name", ["password", "pwd", "secret", "token", "api_key", "passwd", "auth"]), pick("eq", [": ", "=", " = ", ":", " := "]))
+    end = pick("end", [" ", ".", ",", "\n", ""])
+    short = r("bare value", 4) == 0
+    mixed = {"value": F.when(label == 1, password).otherwise(plain_value), "before": bare, "after": end}
+    return long.select(*[F.when(short, mixed[c]).otherwise(F.col(c)).alias(c) if c in mixed else F.col(c) for c in long.columns if c != "id"])
 
 
 def train(findings: DataFrame, trees: int = 16, depth: int = 6, max_rows: int = MAX_TRAINING_ROWS) -> list:

@@ -167,3 +167,20 @@ def test_secrets_are_found_and_redacted(spark, trees):
             assert texts[r.doc_id][f.start : f.start + f.length] == f.value == key
     assert rows[0].redacted is None and rows[3].redacted == texts[3]
     assert secret_scan.scan_secrets(docs(spark, [(1, "x")]).limit(0), trees=trees).count() == 0
+
+
+def test_short_and_broken_secrets_are_found_whole(spark, trees):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    secrets = {
+        0: ("password: hunter2pass", "password: [SECRET]"),
+        1: ("set pwd = Tr0ub4dor&3x! and go", "set pwd = [SECRET] and go"),
+        2: (f'token = "{key}$x!" end', 'token = "[SECRET]" end'),
+        3: ('{"DB_PASSWORD": "q7#Zp", "n": 1}', '{"DB_PASSWORD": "[SECRET]", "n": 1}'),
+        4: (f"naïve 😀 pwd=Xk3$vQ9z, then token = '{key}'.", "naïve 😀 pwd=[SECRET], then token = '[SECRET]'."),
+        5: ("author: Smith, password: required", "author: Smith, password: required"),
+    }
+    rows = secret_scan.scan_secrets(docs(spark, [(i, t) for i, (t, _) in secrets.items()]), trees=trees).collect()
+    assert {r.doc_id: r.redacted for r in rows} == {i: want for i, (_, want) in secrets.items()}
+    for r in rows:
+        for f in r.findings:
+            assert secrets[r.doc_id][0][f.start : f.start + f.length] == f.value
