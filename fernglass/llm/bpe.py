@@ -9,7 +9,9 @@ same rule with minima per segment, so that a round costs a segment and not the p
 
 Edge cases: a null text counts as empty (no ids); texts are encoded whole; a rank file without all 256 single
 bytes is refused; the memory of a worker's chunk cache is bounded by `CACHE_BYTES`, after which only the chunks of the texts at hand stay;
-repeated rows give equal rows; an empty table gives an empty result.
+ids of documents pass through exactly, null ones too;
+repeated rows give equal rows; an empty table gives an empty result; extra columns pass through, but for older
+columns of the names that are added.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -199,11 +203,10 @@ def chunk_of(key: str) -> str:
 
 
 class ChunkCache:
-    """Ids of chunks as little-endian bytes, encoded in batches and kept up to CACHE_BYTES. Texts that hold one of
-    `uncut` are not cut at spaces."""
+    """Ids of chunks as little-endian bytes, encoded in batches and kept up to CACHE_BYTES."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], split: Callable[[str], list[str]], uncut: tuple[str, ...] = ()):
-        self.encode, self.split, self.uncut = encode, split, uncut
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], split: Callable[[str], list[str]]):
+        self.encode, self.split = encode, split
         self.known: dict[str, bytes] = {}
         self.held = 0
 
@@ -214,7 +217,7 @@ class ChunkCache:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text."""
-        cut = [None if any(u in t for u in self.uncut) else chunks_of(t) for t in texts]
+        cut = [chunks_of(t) for t in texts]
         cut = [[" " + p for p in self.split(t)] if c is None else c for t, c in zip(texts, cut, strict=True)]
         needed: set[str] = set().union(*cut)
         if self.held > CACHE_BYTES:  # what the texts at hand share with earlier ones is worth keeping
@@ -241,6 +244,18 @@ def small_batches(frames: Iterator[pd.DataFrame], column: str, most: int = 4 <<
             start = stop
 
 
+def text_slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Cut a batch so that a slice holds about `most` bytes of text (one row at least); with its texts, null as empty."""
+    ends = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).cumsum()
+    start = 0
+    while start < len(ends):
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + most, side="right")))
+        part = batch.slice(start, stop - start)
+        yield part, [t or "" for t in part.column(column).to_pylist()]
+        start = stop
+
+
 def encoder(path: str, pattern: str) -> ChunkCache:
     import regex
 
@@ -255,47 +270,53 @@ def encoder(path: str, pattern: str) -> ChunkCache:
 
 
 def encode_table(rows: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """Add `ids` (binary, little-endian unsigned 32-bit) and `n_tokens` to `rows`."""
-    schema = rows.drop("ids", "n_tokens").withColumns({"n_tokens": F.lit(0).cast("long"), "ids": F.lit(b"").cast("binary")}).schema
+    """Add `ids` (binary, little-endian unsigned 32-bit) and `n_tokens` to `rows`; older columns of these names go."""
+    rows = rows.drop("ids", "n_tokens")
+    schema = rows.withColumns({"n_tokens": F.lit(0).cast("long"), "ids": F.lit(b"").cast("binary")}).schema
+    at = rows.columns.index(text)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = encoder(path, pattern)
-        for frame in small_batches(frames, text):
-            ids = cache.ids(frame[text].fillna("").tolist())
-            yield frame.assign(n_tokens=[len(i) // 4 for i in ids], ids=ids)[schema.names]
+        for batch in batches:
+            for part, texts in text_slices(batch, at):
+                ids = cache.ids(texts)
+                made = [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=schema.names)
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def decode_table(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
-    """Add `decoded` (binary) to `rows`."""
-    schema = rows.drop("decoded").withColumn("decoded", F.lit(b"").cast("binary")).schema
+    """Add `decoded` (binary) to `rows`; null ids decode to nothing. An older column of that name goes."""
+    rows = rows.drop("decoded")
+    schema = rows.withColumn("decoded", F.lit(b"").cast("binary")).schema
+    at = rows.columns.index(ids)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = ranks_at(path)
-        for frame in frames:
-            yield frame.assign(decoded=[ranks.decode(np.frombuffer(i, "<u4")) for i in frame[ids]])[schema.names]
+        for batch in batches:
+            decoded = [ranks.decode(np.frombuffer(i.as_py() or b"", "<u4")) for i in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], names=schema.names)
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def digests(rows: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encoding and decoding in one pass that keeps neither."""
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    sha = lambda data: hashlib.sha256(data).hexdigest()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, ranks = encoder(path, pattern), ranks_at(path)
-        for frame in small_batches(frames, "text"):
-            ids = cache.ids(frame["text"].fillna("").tolist())
-            yield pd.DataFrame(
-                {
-                    "doc_id": frame["doc_id"].to_numpy(),
-                    "n_tokens": [len(i) // 4 for i in ids],
-                    "ids_sha256": [hashlib.sha256(i).hexdigest() for i in ids],
-                    "decoded_sha256": [hashlib.sha256(ranks.decode(np.frombuffer(i, "<u4"))).hexdigest() for i in ids],
-                }
-            )
-
-    return rows.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        for batch in batches:
+            for part, texts in text_slices(batch, 1):
+                ids = cache.ids(texts)
+                decoded = [sha(ranks.decode(np.frombuffer(i, "<u4"))) for i in ids]
+                made = [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([*map(sha, ids)], pa.string()), pa.array(decoded, pa.string())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *made], names=names)
+
+    plain = rows.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return plain.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str, path: str | None = None, pattern: str | None = None) -> DataFrame:
