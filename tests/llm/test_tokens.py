@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from fernglass.llm import bpe, packing
+from tokenizers import Tokenizer
 
 SF = "/root/testdata/sf0.001"
 LETTERS = " \n\t\r  ab'sDé中\x1c\x85 　😀1²%#., \x00\x0b"
@@ -66,7 +67,7 @@ def test_pieces_are_those_of_the_library(spark):
     by_doc = defaultdict(list)
     for r in rows:
         by_doc[r.doc_id].append(r)
-    library = packing.tokenizer(path)
+    library = Tokenizer.from_file(path)
     for i, t in enumerate(texts):
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]
         pieces = sorted(by_doc[i], key=lambda r: r.piece)
@@ -80,8 +81,6 @@ def test_pieces_are_those_of_the_library(spark):
 
 
 def test_texts_with_an_added_token_are_those_of_the_plain_library(spark):
-    from tokenizers import Tokenizer
-
     path = public_tokenizers.path("byte_bpe_50k.json")
     texts = ["<|endoftext|> a", "one two<|endoftext|>three", "a  <|endoftext|>  b \n<|endoftext|>", "x <|endoftext|><|endoftext|> y", "<|endoftext |> no mark"]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -125,6 +124,66 @@ def test_packing_search_against_brute_force(seed):
     assert packing.lower_bound(Counter(sizes), 30) <= plan.bins
 
 
+def test_ids_of_the_vocabulary_and_of_hard_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, encode = Tokenizer.from_file(path), packing.fast_encoder(path)
+    byte = packing.byte_of_sign()
+    tokens = [bytes(byte[c] for c in t).decode("utf-8", "replace") for t in library.get_vocab() if t != "<|endoftext|>"]
+    for text in [*tokens, *hard_texts(2000), "\n\n x \n\n", "\u3000\u3000a \x1c\x1c b\x85\x85c", "a" * 100_000]:
+        assert encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_files_of_other_kinds_go_through_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert packing.fast_encoder(path) is None
+    text = "Some  Words, and\nmore"
+    assert packing.encoder(path)(text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def every_filling(counts, room):
+    """Every filling of a room, by trying everything."""
+    out = [{}]
+    for length, n in counts.items():
+        out = [f | ({length: k} if k else {}) for f in out for k in range(n + 1) if sum(a * m for a, m in f.items()) + k * length <= room]
+    return out
+
+
+def fits_into(pieces, rooms):
+    """Whether the pieces can be dealt to the rooms (Martello and Toth: then the filling `rooms` dominates)."""
+    if not pieces:
+        return True
+    return any(fits_into(pieces[1:], [*rooms[:k], r - pieces[0], *rooms[k + 1 :]]) for k, r in enumerate(rooms) if r >= pieces[0])
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_no_filling_dominates_another(seed):
+    draw = random.Random(seed)
+    room = draw.randint(5, 26)
+    counts = Counter(draw.randint(1, 14) for _ in range(8))
+    found = packing.fillings(sorted(counts), counts, room, 1000, room, 10**6)
+    flat = lambda f: sorted((a for a, n in f.items() for _ in range(n)), reverse=True)
+    every = [flat(f) for f in every_filling(counts, room)]
+    for f in map(flat, found):
+        assert not any(sorted(o) != sorted(f) and fits_into(f, o) for o in every)
+    for f in every:  # and nothing undominated is missing
+        assert f in [flat(x) for x in found] or any(o != f and fits_into(f, o) for o in every)
+
+
+def test_places_with_clashing_columns_and_null_ids(spark):
+    big = 2**53 + 1
+    texts = [(big, "a b c"), (None, "x"), (None, None), (big, "a b c"), (-(2**63), "word " * 100)]
+    frame = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in texts], "doc_id long, text string, part int, offset int, first int")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = packing.pack_documents(frame, path, 16).collect()
+    assert Counter(r.doc_id for r in rows)[big] == 2 and Counter(r.doc_id for r in rows)[None] == 2
+    check_packing(rows, 16)
+    made = packing.pack(frame.select("*", (frame.part * 7).cast("long").alias("length"), frame.part.alias("row"), frame.part.alias("sequence_id")), ["doc_id"], 16)
+    assert made.columns == ["doc_id", "text", "part", "first", "length", "row", "sequence_id", "offset"]
+    assert check_packing(made.collect(), 16) == 3
+    ids = {r.doc_id for r in bpe.digests(frame, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).collect()}
+    assert ids == {big, None, -(2**63)}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
@@ -141,7 +200,7 @@ def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in rows} == ids[2]
     check_packing(rows, 2048)
-    library = packing.tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for r in rows[:50]:
         whole = [*library.encode(texts[r.doc_id][0], add_special_tokens=False).ids, 0]
         assert r.ids_crc32 == zlib.crc32(np.array(whole[r.start : r.start + r.length], "<u4").tobytes())
