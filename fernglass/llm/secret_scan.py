@@ -8,6 +8,8 @@ one pass over the table inside the row: no shuffle, no Python, no model to ship.
 Training reads at most `max_rows` labelled rows, a documented bound; the rows with the smallest hashes are taken.
 Without labelled findings of one's own, `sample_findings` makes a labelled set from rules: digests, random
 strings, passwords and known key formats as secrets; words, code, placeholders, numbers, digests of files and commits as others.
+The dictionary is the whole words of a public tokenizer's vocabulary (its path is a parameter); the words' own pairs of
+neighbouring letters give the scale of the character transitions.
 
 Edge cases: null texts have no findings and stay null; a null path counts as ''; overlapping candidates do not
 occur (matches follow one another); repeated rows are scanned each; texts are scanned whole; an empty table gives
@@ -16,12 +18,19 @@ an empty result. Columns of other names pass through; `findings` and `redacted`
 
 from __future__ import annotations
 
-from functools import reduce
+import base64
+import hashlib
+import math
+import random
+import re
+from collections import Counter
+from collections.abc import Callable
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, table
+from .common import LOWER, let, table
 
 #: Names of secrets.
 NAME = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer)"
@@ -42,14 +51,11 @@ CANDIDATE = rf"(?<!{WORD}){NAMED}{VALUE}|(?<=[\"'])[^\s\"']{{8,}}+(?=[\"'])|(?<!
 #: Characters looked at on either side.
 NEAR = 48
 FEATURES = (
-    "length", "digits", "lowers", "uppers", "specials", "switches", "distinct", "hexes", "vowels",
-    "coverage", "path_test", "name_near", "quoted", "assigned", "placeholder", "neutral_near",
+    "length", "digits", "lowers", "uppers", "specials", "switches", "distinct", "hexes", "vowels", "transitions",
+    "uncovered", "path_test", "name_near", "quoted", "assigned", "placeholder", "neutral_near",
 )
-#: Short word parts of a few languages; their share of a candidate's letters is its dictionary coverage.
-PARTS = (
-    "tion|ment|ing|the|and|for|ent|ion|ble|ver|sch|ein|ich|keit|heit|ung|aux|elle|que|tre|eau|ous|ado|mente|ción|ez|os|as|er|on|an|en|"
-    "re|at|in|th|st|nd|ou|ea|ha|he|es|ed|or|ti|nt|sh|ly|wh|de|le|la|ch|ge|be|ra|ja|ll|rr|ci|co|do|mi"
-)
+#: Words of the dictionary (the most frequent ones), and their least length.
+WORDS, SHORTEST = 4000, 4
 #: What stands where no secret does, and words that speak of digests and ids.
 PLACEHOLDER = r"(?i)example|sample|dummy|changeme|your[_-]|placeholder|redacted|xxxx|\*\*\*\*|<[a-z_]+>|\$\{|test|todo|(.)\1{5}"
 NEUTRAL = r"(?i)commit|sha-?\d*|md5|digest|checksum|revision|build|uuid|guid|etag|hash|https?://|version"
@@ -57,13 +63,64 @@ NEUTRAL = r"(?i)commit|sha-?\d*|md5|digest|checksum|revision|build|uuid|guid|eta
 MAX_TRAINING_ROWS = 20_000
 
 
-def features(value: Column, before: Column, after: Column, path: Column) -> Column:
+def vocabulary_words(path: str, words: int = WORDS) -> tuple[str, ...]:
+    """The most frequent whole words of a rank file (lower case, SHORTEST letters at least)."""
+    with open(path, "rb") as file:
+        ranks = [(int(rank), base64.b64decode(token)) for token, rank in map(bytes.split, file)]
+    found = [m[1].decode() for _, token in sorted(ranks) if (m := re.fullmatch(rb" ([a-z]{%d,})" % SHORTEST, token))]
+    return tuple(found[:words])
+
+
+@lru_cache(maxsize=1)
+def default_words() -> tuple[str, ...]:
+    import public_tokenizers
+
+    return vocabulary_words(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def any_of(words: tuple[str, ...]) -> str:
+    """A pattern that finds the longest of the words at a place, a letter at a time."""
+    tree: dict = {}
+    for word in words:
+        at = tree
+        for letter in word:
+            at = at.setdefault(letter, {})
+        at[""] = {}
+
+    def pattern(at: dict) -> str:
+        rest = [letter + pattern(under) for letter, under in sorted(at.items()) if letter]
+        inside = rest[0] if len(rest) == 1 else "|".join(rest)
+        return ("" if not rest else f"(?:{inside})?+" if "" in at else inside if len(rest) == 1 else f"(?:{inside})")
+
+    return pattern(tree)
+
+
+def pair_digits(words: tuple[str, ...]) -> str:
+    """For every pair of letters a digit: 9 for the most frequent pairs in the words, 0 for pairs that do not occur."""
+    held = Counter(a + b for word in words for a, b in zip(word, word[1:], strict=False))
+    most = math.log1p(max(held.values(), default=1))
+    return "".join(str(int(9 * math.log1p(held[a + b]) / most)) for a in LOWER for b in LOWER)
+
+
+def features(value: Column, before: Column, after: Column, path: Column, words: tuple[str, ...] | None = None) -> Column:
     """The forest's inputs for one candidate as array<double>, in the order of FEATURES."""
+    words = default_words() if words is None else words
     n = F.length(value).cast("double")
     count = lambda pattern, of=value: F.regexp_count(of, F.lit(pattern)).cast("double")
     letters = count(r"[A-Za-z]")
     distinct = F.size(F.array_distinct(F.split(value, ""))).cast("double")
     flag = lambda test: F.coalesce(test, F.lit(False)).cast("double")
+    digits = F.lit(pair_digits(words))
+
+    def pair(a: Column, b: Column) -> Column:
+        """How usual it is that letter b follows letter a, 0 to 9; null where one of them is no letter."""
+        i, j = F.instr(F.lit(LOWER), a), F.instr(F.lit(LOWER), b)
+        return F.when((i > 0) & (j > 0) & (a != "") & (b != ""), F.substring(digits, (i - 1) * 26 + j, F.lit(1)).cast("double"))
+
+    def transitions(signs: Column) -> Column:
+        pairs = F.array_compact(F.transform(signs, lambda a, k: pair(a, F.get(signs, k + 1))))
+        return let(pairs, lambda x: F.when(F.size(x) > 0, F.aggregate(x, F.lit(0.0), lambda t, v: t + v) / F.size(x)).otherwise(F.lit(9.0)))
+
     return F.array(
         n,
         count(r"[0-9]") / n,
@@ -74,7 +131,8 @@ def features(value: Column, before: Column, after: Column, path: Column) -> Colu
         distinct / n,
         count(r"[0-9a-fA-F]") / n,
         F.when(letters > 0, count(r"[aeiouAEIOU]") / letters).otherwise(F.lit(0.0)),
-        F.when(letters > 0, F.length(F.regexp_replace(F.lower(value), f"{PARTS}|[^a-z]", "")) / letters).otherwise(F.lit(1.0)),
+        let(F.split(F.lower(value), ""), transitions),
+        F.when(letters > 0, F.length(F.regexp_replace(F.lower(value), f"{any_of(words)}|[^a-z]", "")) / letters).otherwise(F.lit(1.0)),
         flag(path.rlike(r"(?i)test|example|sample|fixture|mock|doc")),
         flag(before.rlike(rf"(?i){NAME}[\w.-]*[\"']?\W{{0,4}}$")),
         flag(before.rlike(r"[\"'`]$") & after.rlike(r"^[\"'`]")),
@@ -124,88 +182,98 @@ def candidates(text: Column, path: Column, judge) -> Column:
     return F.when(text.rlike(CANDIDATE), placed).otherwise(none)
 
 
-def sample_findings(spark: SparkSession, rows: int = 4096) -> DataFrame:
-    """Labelled findings (value, before, after, path, label) made from rules, the same on every call."""
-    r = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n))
-    pick = lambda salt, options: F.element_at(F.array(*[F.lit(x) for x in options]), (r(salt, len(options)) + 1).cast("int"))
-    digest = F.sha2(F.concat(F.lit("s"), F.col("id").cast("string")), 512)
-    base64 = F.translate(F.base64(F.unhex(digest)), "\r\n", "")
-    syllables = [x for x in PARTS.split("|") if x.isascii()]
-    word = reduce(F.concat, [pick(f"w{k}", syllables) for k in range(8)])
-    words = F.substring(word, F.lit(1), F.lit(26))
-    number = F.concat(*[r(f"n{k}", 10_000).cast("string") for k in range(5)])
-    name = pick("name", ["token", "api_key", "secret", "password", "access_key", "auth_token", "private-key"])
-    assign = pick("eq", [' = "', ': "', '="', " = '", ": '"])
-    secret = F.element_at(
-        F.array(
-            F.substring(digest, F.lit(1), F.lit(40)),
-            F.substring(digest, F.lit(1), F.lit(32)),
-            F.substring(digest, F.lit(1), F.lit(64)),
-            F.substring(base64, F.lit(1), F.lit(40)),
-            F.substring(base64, F.lit(1), (r("len", 34) + 10).cast("int")),
-            F.concat(F.lit("AKIA"), F.upper(F.substring(F.regexp_replace(base64, "[^A-Za-z]", "Q"), 1, 16))),
-            F.concat(F.lit("ghp_"), F.substring(F.regexp_replace(base64, "[^A-Za-z0-9]", "x"), 1, 36)),
-            F.concat(F.lit("sk_live_"), F.substring(F.regexp_replace(base64, "[^A-Za-z0-9]", "k"), 1, 24)),
-        ),
-        (r("kind", 8) + 1).cast("int"),
-    )
-    own_format = r("kind", 8) >= 5
-    other = F.element_at(
-        F.array(
-            words,
-            F.concat_ws("_", F.lit("your"), name, F.lit("goes_here")),
-            F.concat_ws("-", words, F.substring(word, 3, 12)),
-            F.substring(number, F.lit(1), F.lit(16)),
-            F.substring(digest, F.lit(1), F.lit(40)),
-            F.concat(F.lit("www."), words, F.lit(".example.com/"), F.substring(word, 2, 8)),
-            F.concat(F.lit("xxxxxxxxxxxx"), F.substring(digest, F.lit(1), F.lit(8))),
-            F.when(r("case", 2) == 0, F.upper(words)).otherwise(F.initcap(words)),
-        ),
-        (r("kind", 8) + 1).cast("int"),
-    )
-    commit = r("kind", 8) == 4
-    plain = pick("plain", ["of the ", "and ", "see ", "\n", ". ", "(", "to "])
-    label = F.col("id") % 2
-    lead = pick("lead", ["", "the ", "export ", "\n", "with "])
-    named = F.concat(lead, name, assign)
-    long = spark.range(rows).select(
-        "id",
-        F.when(label == 1, secret).otherwise(other).alias("value"),
-        F.when(label == 1, F.when(own_format & (r("bare", 2) == 0), plain).otherwise(named))
-        .otherwise(F.when(commit, pick("c", ["commit ", "sha1: ", "checksum=", "etag: ", "revision "])).when(r("named", 5) == 0, F.when(r("kind", 8) == 3, plain).otherwise(named)).otherwise(plain))
-        .alias("before"),
-        F.when(label == 1, F.substring(assign, -1, 1)).otherwise(pick("end", [" ", ".", ",", "\n", '"'])).alias("after"),
-        pick("path", ["src3", "src11", "app/config.py", "tests/test_login.py", "docs/example.md", ""]).alias("path"),
-        label.cast("int").alias("label"),
-    )
-    # Every fourth is a short value without quotes after a name: passwords with digits and symbols; words, code, numbers.
-    symbol = pick("symbol", ["!", "&", "#", "$", "%", "@", "?", "^"])
-    digits = r("digits", 90).cast("string")
-    password = F.element_at(
-        F.array(
-            F.substring(base64, F.lit(1), (r("short", 7) + 8).cast("int")),
-            F.concat(F.substring(base64, F.lit(1), (r("short", 5) + 4).cast("int")), symbol, F.substring(base64, 20, 3), pick("last", ["!", "$", ""])),
-            F.concat(F.substring(word, 1, 6), digits, F.substring(word, 8, 4)),
-            F.concat(F.initcap(F.substring(word, 1, 5)), digits, symbol),
-        ),
-        (r("secret", 4) + 1).cast("int"),
-    )
-    plain_value = F.element_at(
-        F.array(
-            F.substring(word, F.lit(1), (r("short", 9) + 2).cast("int")),
-            F.initcap(F.substring(word, F.lit(1), (r("short", 9) + 2).cast("int"))),
-            pick("code", ["None", "null", "true", "false", "required", "optional", "str", "getpass.getpass(", "os.environ", "config.get(", "self.value", "${VALUE}"]),
-            r("small", 5000).cast("string"),
-            F.concat(F.substring(word, 1, 5), F.lit("_"), F.substring(word, 7, 5)),
-            F.concat(F.lit("https://"), F.substring(word, 1, 8), F.lit(".com/"), F.substring(word, 9, 4)),
-        ),
-        (r("other", 6) + 1).cast("int"),
-    )
-    bare = F.concat(lead, pick("name", ["password", "pwd", "secret", "token", "api_key", "passwd", "auth"]), pick("eq", [": ", "=", " = ", ":", " := "]))
-    end = pick("end", [" ", ".", ",", "\n", ""])
-    short = r("bare value", 4) == 0
-    mixed = {"value": F.when(label == 1, password).otherwise(plain_value), "before": bare, "after": end}
-    return long.select(*[F.when(short, mixed[c]).otherwise(F.col(c)).alias(c) if c in mixed else F.col(c) for c in long.columns if c != "id"])
+def sample_findings(spark: SparkSession, rows: int = 4096, seed: int = 17, words: tuple[str, ...] | None = None) -> DataFrame:
+    """`rows` labelled findings (value, before, after, path, label) made from rules, the same on every call."""
+    words = default_words() if words is None else words
+    draw = random.Random(seed)
+    pick, upto = draw.choice, draw.randint
+    follow: dict[str, list[str]] = {}
+    for word in words:
+        for a, b in zip(word, word[1:], strict=False):
+            follow.setdefault(a, []).append(b)
+
+    def invented(n: int) -> str:
+        """What looks like a word: letters that follow one another as in the dictionary."""
+        out = pick(words)[:2]
+        while len(out) < n:
+            out += pick(follow.get(out[-1]) or ["e"])
+        return out
+
+    def digest(n: int) -> str:
+        return hashlib.sha512(draw.randbytes(16)).hexdigest()[:n]
+
+    def random64(n: int) -> str:
+        return base64.b64encode(draw.randbytes(n)).decode()[:n]
+
+    def random62(n: int) -> str:
+        return re.sub("[^A-Za-z0-9]", "x", random64(n))
+
+    names = ["token", "api_key", "secret", "password", "access_key", "auth_token", "private-key", "passwd", "pwd"]
+    symbol = lambda: pick("!&#$%@?^")
+    secrets: list[Callable[[], str]] = [
+        lambda: digest(pick([32, 40, 64])),
+        lambda: random64(upto(16, 44)),
+        lambda: "AKIA" + random62(16).upper(),
+        lambda: pick(["ghp_", "sk_live_", "xoxb-", "glpat-"]) + random62(upto(20, 36)),
+    ]
+    passwords: list[Callable[[], str]] = [
+        lambda: random64(upto(8, 15)),
+        lambda: random64(upto(4, 8)) + symbol() + random64(3) + pick(["!", "$", ""]),
+        lambda: pick(words)[:6] + str(upto(0, 99)) + invented(4),
+        lambda: pick(words)[:5].title() + str(upto(0, 999)) + symbol(),
+    ]
+    others: list[Callable[[], str]] = [
+        lambda: invented(upto(8, 30)),
+        lambda: pick("_-./") .join(pick(words) for _ in range(upto(2, 5))),
+        lambda: "".join(pick(words).title() for _ in range(upto(2, 4))),
+        lambda: invented(upto(8, 20)).upper(),
+        lambda: str(upto(10**8, 10 ** upto(15, 20))),
+        lambda: f"https://www.{pick(words)}.example.com/{pick(words)}/{upto(1, 999)}",
+        lambda: f"your_{pick(names)}_goes_here",
+        lambda: "x" * upto(8, 14) + digest(upto(0, 8)),
+    ]
+    plain_values: list[Callable[[], str]] = [
+        lambda: invented(upto(2, 12)),
+        lambda: invented(upto(2, 12)).title(),
+        lambda: pick(words) + "_" + pick(words),
+        lambda: pick(["None", "null", "true", "false", "required", "optional", "str", "getpass.getpass(", "os.environ", "config.get(", "self.value", "${VALUE}"]),
+        lambda: str(upto(0, 5000)),
+        lambda: f"https://{pick(words)}.com/{pick(words)}",
+    ]
+    prose = ["of the ", "and ", "see ", "\n", ". ", "(", "to ", " "]
+    lead = lambda: pick(["", "the ", "export ", "\n", "with ", invented(6) + " "])
+
+    def quoted_name() -> tuple[str, str]:
+        assign = pick([' = "', ': "', '="', " = '", ": '"])
+        return lead() + pick(names) + assign, assign[-1]
+
+    def bare_name() -> str:
+        return lead() + pick(names) + pick([": ", "=", " = ", ":", " := "])
+
+    end = lambda: pick([" ", ".", ",", "\n", ""])
+
+    def one(label: int) -> tuple[str, str, str]:
+        short = draw.random() < 0.25
+        if label and short:
+            return pick(passwords)(), bare_name(), end()
+        if label:
+            kind = upto(0, 3)
+            if kind >= 2 and draw.random() < 0.5:  # known formats need no name
+                return secrets[kind](), pick(prose), end()
+            return (secrets[kind](), *quoted_name())
+        if short:
+            return pick(plain_values)(), bare_name(), end()
+        if draw.random() < 0.15:
+            return digest(pick([32, 40, 64])), pick(["commit ", "sha1: ", "checksum=", "etag: ", "revision ", "md5 "]), end()
+        if draw.random() < 0.2:
+            return (pick(others)(), *quoted_name())
+        if draw.random() < 0.2:
+            return pick(others)(), pick(prose) + '"', '"'
+        return pick(others)(), pick(prose), end()
+
+    paths = ["web", "forum/archive", "app/config.py", "tests/test_login.py", "docs/example.md", ""]
+    made = [(*one(k % 2), pick(paths), k % 2) for k in range(rows)]
+    return spark.createDataFrame(made, "value string, before string, after string, path string, label int")
 
 
 def train(findings: DataFrame, trees: int = 16, depth: int = 6, max_rows: int = MAX_TRAINING_ROWS) -> list:
@@ -215,10 +283,10 @@ def train(findings: DataFrame, trees: int = 16, depth: int = 6, max_rows: int =
 
     path = F.coalesce(F.col("path"), F.lit(""))
     shaped = findings.where("value is not null and value <> '' and label is not null").orderBy(F.xxhash64("value", "before")).limit(max_rows)
-    shaped = shaped.select(
-        array_to_vector(features(F.col("value"), F.coalesce("before", F.lit("")), F.coalesce("after", F.lit("")), path)).alias("x"),
-        F.col("label").cast("double").alias("label"),
-    )
+    # Inside `let` the features are evaluated by expression, as in a scan; generated code of their size would not compile.
+    given = F.struct(F.col("value").alias("v"), F.coalesce("before", F.lit("")).alias("b"), F.coalesce("after", F.lit("")).alias("a"), path.alias("p"))
+    x = let(given, lambda g: features(g["v"], g["b"], g["a"], g["p"]))
+    shaped = shaped.select(array_to_vector(x).alias("x"), F.col("label").cast("double").alias("label"))
     model = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, seed=17).fit(shaped)
 
     def nested(node) -> object:
