@@ -114,9 +114,11 @@ def brute_components(texts):
     return [(i, len(s), find(i)) for i, s in enumerate(sets)]
 
 
-@pytest.mark.parametrize("block", [1 << 20, 300])
-def test_jaccard_components_against_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(jaccard, "BLOCK", block)
+@pytest.mark.parametrize(("block", "small", "listed", "span"), [(1 << 20, 10**6, 1 << 18, 4096), (300, 10**6, 3, 4096), (300, 0, 1 << 18, 2), (2000, 0, 2, 3)])
+def test_jaccard_components_against_brute_force(spark, monkeypatch, block, small, listed, span):
+    """With blocks and hot lists that are met only by huge inputs otherwise, and with both ways to send texts."""
+    for name, value in (("BLOCK", block), ("SMALL", small), ("LIST", listed), ("SPAN", span), ("PIVOTS", 1 + block // 2000)):
+        monkeypatch.setattr(jaccard, name, value)
     texts = near_texts()
     frame = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, sid int")
     assert sorted(tuple(r) for r in jaccard.jaccard_components(frame).collect()) == brute_components(texts)
@@ -151,6 +153,8 @@ def test_search_sets_long_lists_aside():
     base = draw.choice(1 << 40, 200, replace=False).astype(np.uint64)
     sets = [np.unique(np.concatenate([base[draw.random(200) > 0.04], draw.integers(0, 1 << 40, 6).astype(np.uint64)])) for _ in range(60)]
     index = jaccard.Index(sets)
+    ids, hits = index.merged([np.array([0, 5, 4100, 9000]), np.array([5, 9000]), np.array([9001])])
+    assert ids.tolist() == [0, 5, 4100, 9000, 9001] and hits.tolist() == [1, 2, 1, 2, 1]
     for q in range(0, 60, 7):
         allowed = np.arange(60) != q
         want = [u for u in range(60) if u != q and 100 * (i := len(np.intersect1d(sets[q], sets[u]))) >= 75 * (len(sets[q]) + len(sets[u]) - i)]
