@@ -1,4 +1,5 @@
 import duckdb
+import pandas as pd
 import pytest
 
 SF = "/root/testdata/sf0.001"
@@ -7,7 +8,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    return sorted((tuple(None if v is None or v != v else v for v in r) for r in frame.astype(object).itertuples(index=False)), key=repr)
+    return sorted((tuple(None if pd.isna(v) else v for v in r) for r in frame.astype(object).itertuples(index=False)), key=repr)
 
 
 def own():
