@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import dated, effective_date, file_name, with_slashes
 from ..model import Collision, NoDate, Settings
+from ..plans.shared import cut
 
 ORDER = ("is_duplicate", "path")
 
@@ -33,23 +34,43 @@ def numbered_name(bare: Column, n: Column) -> Column:
     return F.when(n == 0, bare).otherwise(F.format_string("%s_%03d.%s", stem, n, ending))
 
 
-def taken_numbers(existing: DataFrame) -> DataFrame:
-    """(bare, n): each existing path as a bare name, and as the n-th name of another where it reads so."""
+def numbered_readings(names: DataFrame) -> DataFrame:
+    """(bare, n): each `dest_path` that reads as the n-th name of another one."""
     path = F.col("dest_path")
     pattern = r"(?s)^(.*)_(\d{3,9})\.([^./]*)$"
     n = F.regexp_extract(path, pattern, 2).try_cast("int")
     bare = F.concat(F.regexp_extract(path, pattern, 1), F.lit("."), F.regexp_extract(path, pattern, 3))
-    exact = existing.where(path.rlike(pattern)).select(bare.alias("bare"), n.cast("long").alias("n"), path.alias("p"))
-    exact = exact.where((F.col("n") >= 1) & (numbered_name(F.col("bare"), F.col("n")) == F.col("p"))).select("bare", "n")
-    return existing.select(path.alias("bare"), F.lit(0).cast("long").alias("n")).unionByName(exact).distinct()
+    read = names.where(path.rlike(pattern)).select(bare.alias("bare"), n.cast("long").alias("n"), path.alias("p"))
+    return read.where((F.col("n") >= 1) & (numbered_name(F.col("bare"), F.col("n")) == F.col("p"))).select("bare", "n")
+
+
+def taken_numbers(existing: DataFrame) -> DataFrame:
+    """(bare, n): each existing path as a bare name, and as the n-th name of another where it reads so."""
+    whole = existing.select(F.col("dest_path").alias("bare"), F.lit(0).cast("long").alias("n"))
+    return whole.unionByName(numbered_readings(existing)).distinct()
+
+
+def _ranked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`rows` with part and r, the rank (from 0) among the items that want one `bare` name; and (bare, part, first): the
+    first rank of each part. Items are dealt by ranges of (bare, ORDER), so a name that very many want is ranked by many
+    tasks; the ranges are written once, since ranks and counts have to see the same ones."""
+    spread = cut(rows.repartitionByRange("bare", *ORDER).withColumn("part", F.spark_partition_id()))
+    counts = spread.groupBy("bare", "part").agg(F.count(F.lit(1)).alias("rows"))
+    before = Window.partitionBy("bare").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = cut(counts.select("bare", "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first")))
+    inside = Window.partitionBy("bare", "part").orderBy(*ORDER)
+    ranked = spread.withColumn("r", F.row_number().over(inside)).join(parts, ["bare", "part"])
+    return ranked.withColumn("r", (F.col("first") + F.col("r") - 1).cast("long")).drop("first"), parts
 
 
 def plan(items: DataFrame, settings: Settings, existing: DataFrame | None = None) -> DataFrame:
     """`items` (path, last_modified, exif_millis, is_duplicate) with dest_path and action.
 
-    The n-th free number of a name comes from ranks alone: with taken numbers o1 < o2 < ..., the r-th free number
-    (from 0) is r plus how many o_k - (k - 1) are at most r. So items and taken numbers are merged in one window
-    per name, and no array of taken names is built."""
+    A bare name goes to the first item that wants it, if it is free. The others take the free numbers of that name in
+    order; a number is taken if such a file stands, and if any item wants that name as its bare one, so no two items
+    ever get one name. The r-th free number comes from ranks alone: with taken numbers o1 < o2 < ..., it is r (from 0)
+    plus how many o_k - (k - 1) are at most r. So items and taken numbers are merged in one window per part of a name,
+    and no array of taken names is built. Items of equal order take neighbouring names; other columns pass through."""
     spark = items.sparkSession
     if existing is None:
         existing = spark.createDataFrame([], "dest_path string")
@@ -57,42 +78,34 @@ def plan(items: DataFrame, settings: Settings, existing: DataFrame | None = None
     stopped = undated & F.lit(settings.no_date is NoDate.STOP)
     skipped = undated & F.lit(settings.no_date is NoDate.SKIP)
     first = F.when(stopped, "error").when(skipped, "skip")
-    rows = items.withColumns({"action": first, "bare": F.when(first.isNull(), target(settings))})
-    going, staying = rows.where("action is null"), rows.where("action is not null")
-    ranked = going.withColumn("r", F.row_number().over(Window.partitionBy("bare").orderBy(*ORDER)).cast("long") - 1)
-    taken = taken_numbers(existing)
+    row = F.struct(*items.columns).alias("row")
+    rows = items.select(row, *ORDER, first.alias("action"), F.when(first.isNull(), target(settings)).alias("bare"))
+    staying = rows.where("action is not null").select("row", F.lit(None).cast("string").alias("dest_path"), "action")
+    ranked, parts = _ranked(rows.where("action is null").select("row", *ORDER, "bare"))
     if settings.collision is Collision.INCREASE:
+        wanted = parts.select(F.col("bare").alias("dest_path")).distinct()
+        taken = taken_numbers(existing).union(numbered_readings(wanted)).distinct()
         shifted = taken.withColumn("r", F.col("n") - F.row_number().over(Window.partitionBy("bare").orderBy("n")) + 1)
-        merged = ranked.withColumn("_taken", F.lit(0)).unionByName(shifted.select("bare", "r", F.lit(1).alias("_taken")), allowMissingColumns=True)
-        before = Window.partitionBy("bare").orderBy("r", F.desc("_taken")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        n = (F.col("r") + F.sum("_taken").over(before)).alias("n")
-        named = merged.withColumn("n", n).where("_taken = 0").drop("_taken")
+        # Each taken number falls into the part whose ranks it shifts first; a part starts with how many came before it.
+        marks = parts.select("bare", "part", F.col("first").alias("r"), F.lit(0).alias("_taken")).unionByName(
+            shifted.select("bare", F.lit(None).cast("int").alias("part"), "r", F.lit(1).alias("_taken"))
+        )
+        so_far = Window.partitionBy("bare").orderBy("r", "_taken").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        marks = marks.select("bare", F.last("part", ignorenulls=True).over(so_far).alias("part"), "r", "_taken", F.sum("_taken").over(so_far).alias("_before"))
+        marks = marks.where("part is not null").select("bare", "part", "r", F.lit(1).alias("_mark"), "_taken", "_before")
+        merged = ranked.withColumns({"_mark": F.lit(0), "_taken": F.lit(0)}).unionByName(marks, allowMissingColumns=True)
+        order = Window.partitionBy("bare", "part").orderBy("r", F.desc("_mark"), "_taken").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        n = F.col("r") + F.coalesce(F.last("_before", ignorenulls=True).over(order), F.lit(0))
+        named = merged.withColumn("n", n).where("_mark = 0")
         placed = named.withColumns({"dest_path": numbered_name(F.col("bare"), F.col("n")), "action": F.when(F.col("n") == 0, "file").otherwise("rename")})
-        placed = _without_clashes(placed)
     else:
-        held = ranked.join(taken.where("n = 0").select("bare", F.lit(True).alias("_held")), "bare", "left")
+        standing = existing.select(F.col("dest_path").alias("bare"), F.lit(True).alias("_held")).distinct()
+        held = ranked.join(standing, "bare", "left")
         clash = F.coalesce("_held", F.lit(False)) | (F.col("r") > 0)
         action = {Collision.SKIP: "skip", Collision.STOP: "error", Collision.OVERWRITE: "overwrite"}[settings.collision]
         keeps = ~clash | F.lit(settings.collision is Collision.OVERWRITE)
         placed = held.withColumns({"dest_path": F.when(keeps, F.col("bare")), "action": F.when(clash, action).otherwise("file")})
-    columns = [*items.columns, "dest_path", "action"]
-    return placed.select(columns).unionByName(staying.withColumn("dest_path", F.lit(None).cast("string")).select(columns))
-
-
-def _without_clashes(placed: DataFrame) -> DataFrame:
-    """A numbered name can be another item's bare name (img_001.jpg beside two img.jpg): the renamed item goes on to
-    the next number that nobody has. Each round settles one number more; ordinary plans need none."""
-    owners = Window.partitionBy("dest_path").orderBy("n", *ORDER)
-    while True:
-        checked = placed.withColumn("_late", F.row_number().over(owners) > 1)
-        if checked.where("_late").isEmpty():
-            return placed
-        last = F.max("n").over(Window.partitionBy("bare"))
-        nth = F.row_number().over(Window.partitionBy("bare", "_late").orderBy("n"))
-        moved = checked.withColumn("n", F.when(F.col("_late"), last + nth).otherwise(F.col("n")))
-        placed = moved.withColumns(
-            {"dest_path": numbered_name(F.col("bare"), F.col("n")), "action": F.when(F.col("n") == 0, "file").otherwise("rename")}
-        ).drop("_late")
+    return placed.select("row", "dest_path", "action").unionByName(staying).select("row.*", "dest_path", "action")
 
 
 def filed(planned: DataFrame) -> DataFrame:

@@ -63,6 +63,35 @@ def test_a_number_that_is_another_items_name(spark):
     assert found["c/img_001.jpg"] == ("target/noExif/img_001.jpg", "file")
 
 
+def test_a_number_that_is_another_items_name_and_the_next_one_stands(spark):
+    rows = [("a/img.jpg", M, None, False), ("b/img.jpg", M, None, False), ("c/img_001.jpg", M, None, False), ("d/img_001.jpg", M, None, False)]
+    found = placed(spark, rows, ("target/noExif/img_002.jpg", "target/noExif/img_001_001.jpg"), no_date=NoDate.FIXED_DIR)
+    assert [found[r[0]] for r in rows] == [
+        ("target/noExif/img.jpg", "file"), ("target/noExif/img_003.jpg", "rename"), ("target/noExif/img_001.jpg", "file"), ("target/noExif/img_001_002.jpg", "rename"),
+    ]
+
+
+def test_a_name_that_very_many_want(spark):
+    base = "target/2020/2020_02/20200203_112255"
+    rows = [(f"{k:05d}.jpg", M, X, k % 2 == 0) for k in range(3000)] + [("other.jpg", M, M, False)]
+    taken = [f"{base}.jpg", *[f"{base}_{n:03d}.jpg" for n in (1, 2, 700, 701, 1400, 9000)]]
+    found = placed(spark, rows, taken)
+    free = (n for n in range(10000) if n not in (0, 1, 2, 700, 701, 1400, 9000))
+    assert [found[f"{k:05d}.jpg"][0] for k in range(1, 3000, 2)] == [f"{base}_{next(free):03d}.jpg" for _ in range(1500)]
+    assert len({d for d, _ in found.values()}) == 3001
+
+
+def test_dates_are_utc_in_every_session(spark):
+    from fernglass.functions.columns import dated
+    from pyspark.sql import functions as F
+
+    other = spark.newSession()
+    other.conf.set("spark.sql.session.timeZone", "America/New_York")
+    spring = millis("20210314_023000")  # an hour that New York skips
+    rows = other.createDataFrame([(0,), (spring,), (None,)], "m long").select(dated(F.col("m"), "yyyy\\MM yyyyMMdd_HHmmss").alias("t")).collect()
+    assert [r.t for r in rows] == ["1970\\01 19700101_000000", "2021\\03 20210314_023000", None]
+
+
 def test_settings():
     text = "# note\ndir.source = C:\\\\in\nformat.dir=yyyy\\\\MM\nrun.mode.drymode = TRUE \nrun.mode.filemove=yes\nrun.parser.count=x\npolicy.noexif= skip\npolicy.duplicate=what\n"
     found = settings_from(read_properties(text))
