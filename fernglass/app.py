@@ -17,18 +17,29 @@ from .sources.extract import add_picture_hashes, extract
 from .sources.listing import scan
 
 
+#: Files that are analysed between two writes of the cache.
+ROUND = 50_000
+
+
 def items_of(spark: SparkSession, settings: Settings) -> tuple[DataFrame, dict[str, int]]:
     """The analysed items of a source tree and the counts of the scan. Only a completed scan prunes the cache."""
     scanned = cut(scan(spark, settings.source or ""))
     cache = fpcache.load(spark, settings.cache_file) if settings.use_cache else fpcache.empty(spark)
     probed = cut(fpcache.probe(scanned, cache))
     misses = probed.where("not hit").select("path", "file_size", "last_modified")
-    computed = extract(misses.repartition(max(1, settings.workers or spark.sparkContext.defaultParallelism)), settings.sign_all)
-    computed = cut(add_picture_hashes(computed, settings.source))
+    # Misses are analysed in rounds of about ROUND files, and each round is kept in the cache before the next one begins:
+    # a run that fails goes on from there.
+    rounds = max(1, -(-misses.count() // ROUND)) if settings.use_cache else 1
+    computed = fpcache.empty(spark)
+    for k in range(rounds):
+        part = misses.where(F.pmod(F.xxhash64("path"), F.lit(rounds)) == k)
+        made = extract(part.repartition(max(1, settings.workers or spark.sparkContext.defaultParallelism)), settings.sign_all, decode=False)
+        made = cut(add_picture_hashes(cut(made), settings.source))
+        if settings.use_cache and not made.isEmpty():
+            fpcache.append(made, settings.cache_file, time.time_ns())
+        computed = computed.unionByName(made.select(computed.columns))
     items = cut(fpcache.merged(probed, computed))
     if settings.use_cache:
-        if computed.count():
-            fpcache.append(computed, settings.cache_file, time.time_ns())
         if os.path.isdir(settings.cache_file):
             spare = f"{settings.cache_file}.new"
             if fpcache.compact(spark, settings.cache_file, spare, scanned, settings.source):

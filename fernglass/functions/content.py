@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from datetime import UTC, datetime
@@ -134,13 +135,20 @@ def _unfiltered(kind: int, line: np.ndarray, above: np.ndarray, channels: int) -
     return left[channels:]
 
 
+#: Brands of ftyp boxes that hold pictures (HEIC and HEIF) and not films.
+PICTURE_BRANDS = (b"heic", b"heix", b"heim", b"heis", b"hevc", b"hevx", b"mif1", b"msf1", b"avif")
+
+
 def capture_millis(head: bytes) -> int | None:
-    """Capture date in ms (UTC) by kind of file: EXIF in JPEG and PNG, the movie header in MP4 and QuickTime, IDIT in AVI."""
+    """Capture date in ms (UTC) by kind of file: EXIF in JPEG, PNG and HEIC, the movie header in MP4 and QuickTime, IDIT in AVI."""
     if head[:2] == b"\xff\xd8":
         return _exif_date(_jpeg_exif(head))
     if head[:8] == b"\x89PNG\r\n\x1a\n":
         at = head.find(b"eXIf")
         return _exif_date(head[at + 4 :] if at >= 0 else None)
+    if head[4:8] == b"ftyp" and head[8:12] in PICTURE_BRANDS:
+        starts = [at for mark in (b"Exif\x00\x00II*\x00", b"Exif\x00\x00MM\x00*") if (at := head.find(mark)) >= 0]
+        return _exif_date(head[min(starts) + 6 :] if starts else None)
     if head[4:8] in (b"ftyp", b"moov", b"mdat", b"wide", b"free"):
         return _movie_date(head)
     if head[:4] == b"RIFF" and head[8:12] == b"AVI ":
@@ -171,26 +179,49 @@ def _jpeg_exif(content: bytes) -> bytes | None:
     return None
 
 
+#: Tags of the original date, its fraction of a second and its offset from UTC, and of their directory.
+DATE, FRACTION, OFFSET, DIRECTORY = 0x9003, 0x9291, 0x9011, 0x8769
+
+
 def _exif_date(tiff: bytes | None) -> int | None:
-    """Tag 0x9003 of the sub-directory that tag 0x8769 points to."""
+    """The original date, with its fraction and its offset where these are given (without one it counts as UTC)."""
     if not tiff or tiff[:2] not in (b"II", b"MM"):
         return None
     order = "<" if tiff[:2] == b"II" else ">"
 
-    def tag(directory: int, wanted: int) -> tuple[int, int] | None:
+    def tag(directory: int, wanted: int) -> tuple[int, int, int] | None:
+        """(place of the value or of its offset, count, value as a number) of a tag."""
         (n,) = struct.unpack_from(order + "H", tiff, directory)
         for k in range(n):
-            code, _, count, value = struct.unpack_from(order + "HHII", tiff, directory + 2 + 12 * k)
+            at = directory + 2 + 12 * k
+            code, _, count, value = struct.unpack_from(order + "HHII", tiff, at)
             if code == wanted:
-                return count, value
+                return at + 8, count, value
         return None
 
+    def text(directory: int, wanted: int) -> str | None:
+        found = tag(directory, wanted)
+        if found is None:
+            return None
+        at = found[0] if found[1] <= 4 else found[2]  # values of four bytes and less stand in their entry
+        return tiff[at : at + found[1]].decode("latin-1").replace("\x00", " ").strip()
+
     try:
-        sub = tag(struct.unpack_from(order + "I", tiff, 4)[0], 0x8769)
-        found = tag(sub[1], 0x9003) if sub else None
+        sub = tag(struct.unpack_from(order + "I", tiff, 4)[0], DIRECTORY)
+        if sub is None or (date := text(sub[2], DATE)) is None:
+            return None
+        fraction, offset = text(sub[2], FRACTION), text(sub[2], OFFSET)
     except struct.error:
         return None
-    return _text_date(tiff[found[1] : found[1] + found[0]].decode("latin-1"), ("%Y:%m:%d %H:%M:%S",)) if found else None
+    millis = _text_date(date, ("%Y:%m:%d %H:%M:%S",))
+    if millis is None:
+        return None
+    if fraction and fraction.isdecimal():
+        millis += int(float(f"0.{fraction}") * 1000)
+    if offset and (parts := re.fullmatch(r"([+-])(\d\d):(\d\d)", offset)):
+        minutes = int(parts[2]) * 60 + int(parts[3])
+        millis -= (minutes if parts[1] == "+" else -minutes) * 60_000
+    return millis
 
 
 #: Seconds from 1904 to 1970, the two epochs.

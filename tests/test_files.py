@@ -8,6 +8,7 @@ from fernglass import app
 from fernglass.functions import content
 from fernglass.model import ITEM, Settings
 from fernglass.operators import fpcache
+from fernglass.operators.apply import apply, file_one
 from fernglass.sources.extract import extract
 from fernglass.sources.listing import scan
 from fernglass.streaming.incremental import fingerprints, landing
@@ -75,6 +76,96 @@ def test_capture_dates():
     assert content.capture_millis(b"nothing") is None
 
 
+def test_dates_of_heic_with_fraction_and_offset():
+    def entry(tag, value, at):
+        return struct.pack("<HHI", tag, 2, len(value)) + (value.ljust(4, b"\x00") if len(value) <= 4 else struct.pack("<I", at))
+
+    date, fraction, offset = b"2020:02:03 11:22:55\x00", b"25\x00", b"+02:00\x00"
+    tiff = b"II*\x00" + struct.pack("<I", 8) + struct.pack("<HHHII", 1, 0x8769, 4, 1, 26) + struct.pack("<I", 0)
+    tiff += struct.pack("<H", 3) + entry(0x9003, date, 100) + entry(0x9011, offset, 130) + entry(0x9291, fraction, 0) + struct.pack("<I", 0)
+    tiff = tiff.ljust(100, b"\x00") + date.ljust(30, b"\x00") + offset
+    heic = b"\x00\x00\x00\x18ftypheic" + b"\x00" * 40 + b"\x00\x00\x00\x06Exif\x00\x00" + tiff
+    assert content.capture_millis(heic) == 1580728975000 + 250 - 2 * 3_600_000
+    assert content.capture_millis(b"\x00\x00\x00\x18ftypheic" + b"\x00" * 40) is None
+
+
+def test_no_file_is_lost_or_taken_for_another(spark, tmp_path):
+    def write(name, data):
+        (tmp_path / name).write_bytes(data)
+        return str(tmp_path / name)
+
+    source, dest = write("a", b"AAAA"), write("b", b"BBBB")
+    assert "exists" in file_one(source, dest, False, False) and open(dest, "rb").read() == b"BBBB"
+    assert "exists" in file_one(source, dest, True, False) and os.path.exists(source)
+    fresh = str(tmp_path / "sub" / "c")
+    assert file_one(source, fresh, False, False) is None and file_one(source, fresh, False, False) is None  # a task that runs again
+    assert file_one(source, str(tmp_path / "moved"), True, False) is None and not os.path.exists(source)
+    modified = os.stat(tmp_path / "moved").st_mtime_ns // 1_000_000
+    assert file_one(source, str(tmp_path / "moved"), True, False, 4, modified) is None
+    assert "gone" in file_one(source, str(tmp_path / "moved"), True, False, 5, modified)
+    assert "gone" in file_one(source, dest, False, False, 4, modified)
+    assert sorted(os.listdir(tmp_path)) == ["b", "moved", "sub"]
+
+
+def test_the_last_of_a_target_stays(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    rows = []
+    for k in range(40):
+        (tmp_path / "in" / f"{k:02d}").write_bytes(b"%d" % k)
+        rows.append((str(tmp_path / "in" / f"{k:02d}"), str(tmp_path / "out" / f"{k % 3}"), "file" if k < 3 else "overwrite", 1, 1, False))
+    rows += [(str(tmp_path / "in" / "00"), None, "skip", 1, 1, False)]
+    frame = spark.createDataFrame(rows[::-1], "path string, dest_path string, action string, file_size long, last_modified long, is_duplicate boolean").repartition(7)
+    done = apply(frame, Settings(dry_run=False), allow_overwrite=True).collect()
+    assert sum(r.done for r in done) == 40 and [r.error for r in done if not r.done] == ["not placed"]
+    assert [(tmp_path / "out" / f"{k}").read_bytes() for k in range(3)] == [b"39", b"37", b"38"]
+
+
+def jpeg(spark, path, seed, kind="jpg"):
+    jvm = spark.sparkContext._jvm
+    image = jvm.java.awt.image.BufferedImage(64, 64, 1)
+    for y, line in enumerate(gradient(seed)):
+        for x, (r, g, b) in enumerate(line.tolist()):
+            image.setRGB(x, y, r << 16 | g << 8 | b)
+    assert jvm.javax.imageio.ImageIO.write(image, kind, jvm.java.io.File(str(path)))
+
+
+@pytest.mark.parametrize("listed", [0, 10_000])
+def test_pictures_whatever_their_names_hold(spark, tmp_path, monkeypatch, listed):
+    from fernglass.sources import extract as module
+
+    monkeypatch.setattr(module, "LISTED", listed)
+    names = ["a b.jpg", "a+b.jpg", "a%20b.jpg", "c.Jpg", "d[1]{x}*.jpeg", "e.PNG", "é ü.JPG", "f.heic"]
+    for seed, name in enumerate(names[:-1]):
+        jpeg(spark, tmp_path / name, 1 if seed < 2 else 20 * seed, "png" if name.endswith("PNG") else "jpg")
+    (tmp_path / "f.heic").write_bytes(b"no picture")
+    items = extract(scan(spark, str(tmp_path)), decode=False)
+    found = module.add_picture_hashes(items, str(tmp_path)).collect()
+    assert sorted(os.path.basename(r.path) for r in found) == sorted(names)
+    hashes = {os.path.basename(r.path): r.perceptual_hash for r in found}
+    assert hashes.pop("f.heic") is None and all(hashes.values()) and hashes["a b.jpg"] == hashes["a+b.jpg"]
+    assert hashes["e.PNG"] == content.perceptual_hash(gradient(100)) and len(set(hashes.values())) == len(hashes) - 1
+
+
+def test_nothing_is_decoded_again(spark, tmp_path, monkeypatch):
+    from fernglass.sources import extract as module
+
+    jpeg(spark, tmp_path / "a.jpg", 3)
+    items = extract(scan(spark, str(tmp_path)), decode=False)
+    whole = spark.createDataFrame(module.add_picture_hashes(items, str(tmp_path)).collect(), items.schema)
+    monkeypatch.setattr(module, "_pictures", lambda *_: pytest.fail("read again"))
+    assert module.add_picture_hashes(whole, str(tmp_path)).first().perceptual_hash
+
+
+def test_queries_of_contents_against_the_plain_functions(spark):
+    from fernglass import queries
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert {r.doc_id: r.signature for r in queries.content_signatures(spark, sf).collect()} == {i: content.signature(t) for i, t in texts.items()}
+    vectors = {r.vec_id: np.array(r.embedding).reshape(-1, 8) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    assert {r.vec_id: r.perceptual_hash for r in queries.picture_hashes(spark, sf).collect()} == {i: content.perceptual_hash(v) for i, v in vectors.items()}
+
+
 def test_scan_rules(spark, tmp_path):
     for name in ("photo.jpg", "old.JPG", "ignored.txt", "README", ".gitignore", ".jpg", ".a.jpg", "_a.jpg", "a.tar.jpg", "x.", "deep/er/still/video.mp4"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
