@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,10 @@ from ..plans.shared import cut
 from .components import connected_components
 
 RADIUS = 5
+#: Hashes of a tile whose distances to another tile's are counted at once.
+TILE = 8192
+#: Hashes up to which the few wide slices are the cheaper blocking.
+FEW = 50_000
 
 
 def keeper_order() -> Column:
@@ -58,13 +64,18 @@ def blocking_keys(h: Column, radius: int, scheme: str) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("part"), value(parts).alias("value")) for k, parts in enumerate(keys)])
 
 
-def near_pairs(hashes: DataFrame, radius: int = RADIUS, scheme: str = "slices") -> DataFrame:
+def near_pairs(hashes: DataFrame, radius: int = RADIUS, scheme: str | None = None) -> DataFrame:
     """(a, b), a < b: all pairs of distinct hashes (column `h`) within `radius` bits.
 
     An equi-join on blocking keys with the distance as residual predicate. Equal hashes are one vertex, so copies
     cannot make a hot key; a pair that shares several keys is reported at its first shared one only, which needs
-    no distinct over the candidates."""
-    keyed = hashes.select("h").where("h is not null").distinct().withColumn("keys", blocking_keys(F.col("h"), radius, scheme))
+    no distinct over the candidates. Without a `scheme`, more than FEW hashes are blocked by "triples": "slices" gives
+    about n * n / 512 candidates."""
+    distinct = hashes.select("h").where("h is not null").distinct()
+    if scheme is None:
+        distinct = cut(distinct)
+        scheme = "triples" if radius <= 5 and distinct.count() > FEW else "slices"
+    keyed = distinct.withColumn("keys", blocking_keys(F.col("h"), radius, scheme))
     left = keyed.select(F.col("h").alias("a"), F.col("keys").alias("a_keys"), F.explode("keys").alias("key"))
     right = keyed.select(F.col("h").alias("b"), F.col("keys").alias("b_keys"), F.explode("keys").alias("key"))
     near = left.join(right, "key").where((F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= radius))
@@ -72,13 +83,41 @@ def near_pairs(hashes: DataFrame, radius: int = RADIUS, scheme: str = "slices")
     return near.where(first == F.col("key")).select("a", "b")
 
 
-def near_clusters(hashes: DataFrame, radius: int = RADIUS, scheme: str = "slices") -> DataFrame:
+def distance_counts(hashes: DataFrame, tile: int = TILE) -> DataFrame:
+    """(distance, pairs): how many pairs of rows of `hashes(h)` are at each distance.
+
+    All pairs are compared, since their number is what is asked for: rows are dealt to tiles of about `tile` hashes, and
+    each cell of the grid of tiles is a task's work, of which it sends on the counts. The work is quadratic, as the
+    question is; memory is bounded by two tiles. Null hashes take no part."""
+    rows = cut(hashes.select("h").where("h is not null").withColumn("at", F.monotonically_increasing_id()))
+    tiles = max(1, -(-rows.count() // tile))
+    own = F.pmod(F.xxhash64("at"), F.lit(tiles)).cast("int")
+    met = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    dealt = met.select("h", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).alias("second"))
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        left = part["h"][~part["second"]].to_numpy().view(np.uint64)
+        alone = key[0] == key[1]
+        right = left if alone else part["h"][part["second"]].to_numpy().view(np.uint64)
+        counts = np.zeros(65, np.int64)
+        for s in range(0, len(left), 256):
+            counts += np.bincount(np.bitwise_count(left[s : s + 256, None] ^ right).ravel(), minlength=65)
+        if alone:  # every pair was met twice, and every row with itself
+            counts[0] -= len(left)
+            counts //= 2
+        return pd.DataFrame({"distance": np.flatnonzero(counts).astype(np.int32), "n": counts[counts > 0]})
+
+    found = dealt.groupBy("a", "b").applyInPandas(run, "distance int, n long")
+    return found.groupBy("distance").agg(F.sum("n").alias("pairs"))
+
+
+def near_clusters(hashes: DataFrame, radius: int = RADIUS, scheme: str | None = None) -> DataFrame:
     """(h, cluster) of every hash that has a neighbour: cluster is the smallest hash of its component."""
     pairs = near_pairs(hashes, radius, scheme)
     return connected_components(pairs, "a", "b").select(F.col("node").alias("h"), F.col("component").alias("cluster"))
 
 
-def deduplicate(items: DataFrame, radius: int = RADIUS, scheme: str = "slices") -> DataFrame:
+def deduplicate(items: DataFrame, radius: int = RADIUS, scheme: str | None = None) -> DataFrame:
     """`items` with is_duplicate, keeper_path (followed through both tiers) and tier (keeper, exact, near).
 
     Items without a hash are never linked; an exact copy of one still goes."""

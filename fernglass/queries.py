@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import columns as c
+from .functions import content
 from .model import Collision, NoDate, Settings
 from .operators import dedup, fpcache, layout
 from .operators.components import connected_components
@@ -178,9 +181,10 @@ def hash_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: round(x::double * 1000)::bigint) AS q FROM embeddings),
 e AS (SELECT vec_id, unnest(list_slice(q, 2, 64)) AS x, unnest(range(1, 64)) AS b, list_sum(list_slice(q, 2, 64)) AS s FROM v),
 h AS (SELECT vec_id, sum(CASE WHEN 63 * x > s THEN (1::hugeint) << b ELSE 0 END) AS h FROM e GROUP BY 1)
-SELECT bit_count(xor(a.h, b.h))::int AS distance, count(*) AS pairs FROM h a JOIN h b ON a.vec_id < b.vec_id AND a.vec_id % 16 = 0 GROUP BY 1""")
+SELECT bit_count(xor(a.h, b.h))::int AS distance, count(*) AS pairs FROM h a JOIN h b ON a.vec_id < b.vec_id GROUP BY 1""")
 def hamming_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distances of every sixteenth vector's hash to all later ones: a stated query set against all rows."""
+    """How many pairs of vectors have hashes at each distance. The count of all pairs is the feature, so all of them are
+    compared, in tiles of a grid; a task sends on 65 counts."""
     q = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("long"))
     vec = read(spark, sf_dir, "embeddings").select("vec_id", F.slice(q, 2, 63).alias("q"))
     s = F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x)
@@ -191,9 +195,7 @@ def hamming_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
         lambda acc: acc["h"],
     )
     hashes = vec.withColumn("s", s).select("vec_id", bits(F.col("s")).alias("h"))
-    asked = hashes.where("vec_id % 16 = 0").select(F.col("vec_id").alias("a_id"), F.col("h").alias("a"))
-    pairs = asked.join(hashes, F.col("a_id") < F.col("vec_id"))
-    return pairs.groupBy(c.hamming(F.col("a"), F.col("h")).alias("distance")).agg(F.count(F.lit(1)).alias("pairs"))
+    return dedup.distance_counts(hashes.select("h"))
 
 
 def _stand_ins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,7 +205,7 @@ def _stand_ins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {DOCS_SQL} SELECT a, b FROM pairs")
 def near_pairs_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.near_pairs(_stand_ins(spark, sf_dir))
+    return dedup.near_pairs(_stand_ins(spark, sf_dir), scheme="slices")
 
 
 @query(f"WITH {DOCS_SQL} SELECT a, b FROM pairs")
@@ -313,25 +315,26 @@ def dated_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _no_date(name: str, rule: NoDate, sql: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        items = _events(spark, sf_dir).where("event_id % 5 = 0")
-        settings = Settings(destination="/dst", no_date=rule, file_format="yyyyMMdd_HHmmss_SSS")
-        return layout.plan(items, settings).select("event_id", "dest_path", "action")
+        settings = Settings(destination="/dst", no_date=rule)
+        return layout.plan(_events(spark, sf_dir), settings).select("event_id", "dest_path", "action")
 
     run.__name__ = name
-    query(f"WITH {EVENTS_SQL} {sql}")(run)
-
-
-_MODIFIED = """, b AS (SELECT *, '/dst/' || CASE WHEN is_duplicate THEN 'duplicates/' ELSE '' END || strftime(make_timestamp(d * 1000), '%Y/%Y_%m/%Y%m%d_%H%M%S_%g') AS stem,
-  regexp_extract(name, '\\.([^.]*)$', 1) AS ext FROM it WHERE event_id % 5 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY stem, ext ORDER BY is_duplicate, path) - 1 AS n FROM b)
-SELECT event_id, CASE WHEN n = 0 THEN stem || '.' || ext ELSE stem || printf('_%03d.', n) || ext END AS dest_path, CASE WHEN n = 0 THEN 'file' ELSE 'rename' END AS action FROM r"""
-_no_date("noexif_skip", NoDate.SKIP, "SELECT event_id, NULL::varchar AS dest_path, 'skip' AS action FROM it WHERE event_id % 5 = 0")
-_no_date("noexif_stop", NoDate.STOP, "SELECT event_id, NULL::varchar AS dest_path, 'error' AS action FROM it WHERE event_id % 5 = 0")
-_no_date("noexif_modified", NoDate.MODIFIED_DATE, _MODIFIED.lstrip())
-_no_date(
-    "noexif_fixed",
-    NoDate.FIXED_DIR,
-    "SELECT event_id, '/dst/' || CASE WHEN is_duplicate THEN 'duplicates/' ELSE '' END || 'noExif/' || name AS dest_path, 'file' AS action FROM it WHERE event_id % 5 = 0",
-)
+    query(f"WITH {EVENTS_SQL}, {PLANNED_SQL} {sql}")(run)
+
+
+#: Every event with a date has a dated name, numbered where several want it; `loose` are the others.
+PLANNED_SQL = """
+base AS (SELECT *, '/dst/' || CASE WHEN is_duplicate THEN 'duplicates/' ELSE '' END AS root, strftime(make_timestamp(d * 1000), '%Y/%Y_%m/%Y%m%d_%H%M%S') AS stem,
+  regexp_extract(name, '\\.([^.]*)$', 1) AS ext FROM it),
+every AS (SELECT event_id, root || stem AS s, ext, row_number() OVER (PARTITION BY root, stem, ext ORDER BY is_duplicate, path) - 1 AS n FROM base),
+dated AS (SELECT event_id, root || stem AS s, ext, row_number() OVER (PARTITION BY root, stem, ext ORDER BY is_duplicate, path) - 1 AS n FROM base WHERE exif_millis IS NOT NULL),
+loose AS (SELECT * FROM base WHERE exif_millis IS NULL)"""
+_PLACED = "SELECT event_id, CASE WHEN n = 0 THEN s || '.' || ext ELSE s || printf('_%03d.', n) || ext END AS dest_path, CASE WHEN n = 0 THEN 'file' ELSE 'rename' END AS action FROM"
+_no_date("noexif_skip", NoDate.SKIP, f"{_PLACED} dated UNION ALL SELECT event_id, NULL, 'skip' FROM loose")
+_no_date("noexif_stop", NoDate.STOP, f"{_PLACED} dated UNION ALL SELECT event_id, NULL, 'error' FROM loose")
+_no_date("noexif_modified", NoDate.MODIFIED_DATE, f"{_PLACED} every")
+_no_date("noexif_fixed", NoDate.FIXED_DIR, f"{_PLACED} dated UNION ALL SELECT event_id, root || 'noExif/' || name, 'file' FROM loose")
+
 
 ORDERS_SQL = """
 o AS (SELECT o_orderkey, 'in/' || lpad('' || o_orderkey, 9, '0') || '.jpg' AS path, '/dst/' || strftime(o_orderdate, '%Y/%Y_%m/%Y%m%d_%H%M%S') || '.jpg' AS bare FROM orders),
@@ -378,6 +381,52 @@ _collision("collision_stop", Collision.STOP, "SELECT o_orderkey, CASE WHEN r = 0
 _collision("collision_overwrite", Collision.OVERWRITE, "SELECT o_orderkey, bare AS dest_path, CASE WHEN r = 0 AND NOT t0 THEN 'file' ELSE 'overwrite' END AS action FROM held")
 
 
+@query("""WITH it AS (SELECT o_orderkey, 'img' || (o_orderkey // 8) AS stem, row_number() OVER (PARTITION BY o_orderkey // 8 ORDER BY o_orderkey) - 1 AS k FROM orders),
+named AS (SELECT *, stem || CASE WHEN k = 2 THEN '_001' ELSE '' END AS wanted FROM it),
+r AS (SELECT *, row_number() OVER (PARTITION BY wanted ORDER BY o_orderkey) - 1 AS r, max(k) OVER (PARTITION BY stem) >= 2 AS numbered FROM named),
+n AS (SELECT *, CASE WHEN k = 2 THEN 0 ELSE list_filter(range(0, r + 4), lambda x: x <> 2 AND NOT (x = 1 AND numbered))[r + 1] END AS n FROM r)
+SELECT o_orderkey, '/dst/noExif/' || wanted || CASE WHEN n = 0 THEN '' ELSE printf('_%03d', n) END || '.jpg' AS dest_path, CASE WHEN n = 0 THEN 'file' ELSE 'rename' END AS action FROM n""")
+def collision_with_numbered_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several items want one name, one of them wants the first numbered name as its own, and the second one stands."""
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("img"), F.floor(F.col("o_orderkey") / 8).cast("string")).alias("stem"))
+    k = F.row_number().over(Window.partitionBy("stem").orderBy("o_orderkey")) - 1
+    name = F.concat("stem", F.when(k == 2, "_001").otherwise(""), F.lit(".jpg"))
+    items = orders.select(
+        "o_orderkey", "stem", F.concat_ws("/", F.lit("in"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0"), name).alias("path"),
+        F.lit(0).cast("long").alias("last_modified"), F.lit(None).cast("long").alias("exif_millis"), F.lit(False).alias("is_duplicate"),
+    )
+    existing = orders.select(F.concat(F.lit("/dst/noExif/"), F.col("stem"), F.lit("_002.jpg")).alias("dest_path")).distinct()
+    return layout.plan(items, Settings(destination="/dst", no_date=NoDate.FIXED_DIR), existing).select("o_orderkey", "dest_path", "action")
+
+
+@query()
+def content_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The content signature of every text's bytes, as for files."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for s in range(0, len(batch), 64):
+                part = batch.iloc[s : s + 64]
+                samples = [content.sampled(b[: content.SAMPLE], b[-content.SAMPLE :], len(b)) for b in map(bytes, part["data"])]
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "signature": content.signatures(samples)})
+
+    data = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data")
+    return read(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", data).mapInPandas(run, "doc_id long, signature long")
+
+
+@query()
+def picture_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The perceptual hash of every vector, its components as a grey picture of eight columns."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            hashes = [content.perceptual_hash(np.asarray(v, float)[: len(v) // 8 * 8].reshape(-1, 8)) for v in batch["embedding"]]
+            yield pd.DataFrame({"vec_id": batch["vec_id"].to_numpy(), "perceptual_hash": hashes})
+
+    vectors = read(spark, sf_dir, "embeddings").where("vec_id is not null and embedding is not null and not exists(embedding, x -> x is null)")
+    return vectors.select("vec_id", "embedding").mapInPandas(run, "vec_id long, perceptual_hash long")
+
+
 @query(f"WITH {ORDERS_SQL} SELECT o_orderkey, t0 AS taken FROM held")
 def existing_target_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, existing = _orders(spark, sf_dir)
