@@ -8,11 +8,13 @@ collected. Lists are merged in two levels of windows over at most k rows a cell.
 Edge cases: null vectors and vectors with a null or non-finite component take no part (empty ones neither);
 vectors of different lengths are compared only with their equals; rows that repeat an id and vector count once;
 rows that share an id with the query are never its candidates; ties go to the smaller id; fewer than k
-candidates give fewer rows; an empty table gives an empty result.
+candidates give fewer rows; an empty table gives an empty result. Components whose scaled value no double holds count
+as non-finite. Scores are exact and ranked exactly at any size; one beyond 64 bits is returned as the nearest long.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,31 +26,42 @@ from .common import shuffles, sorted_groups, table
 
 #: Candidates and queries in one matrix product, and queries that a grid cell holds on average.
 TILE, ROWS, CELL_QUERIES = 2048, 1024, 8192
-#: Stands for "no candidate": below every score that `products` can give. Its negative is an int64 too, so it sorts last.
+#: Stands for "no candidate" among 64-bit scores, which `products` keeps above it; its negative is an int64 too.
 NONE = -((1 << 63) - 1)
+#: Scores beyond 64 bits also travel as bytes of this many, offset by half their range, so that they compare like numbers.
+WIDE = 288
 
 
 def integer_vectors(rows: DataFrame, id_column: str, vector: str, scale: int) -> DataFrame:
-    """(id, vec) with floor(scale * x) of every usable vector; exact repeats once."""
-    x = F.transform(F.col(vector), lambda v: v.cast("double"))
+    """(id, vec) with floor(scale * x) of every usable vector, as whole doubles: all above 2**53 are whole already."""
+    x = F.transform(F.col(vector), lambda v: v.cast("double") * float(scale))
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     usable = rows.filter(F.col(vector).isNotNull() & (F.size(vector) > 0) & F.col(id_column).isNotNull()).filter(finite)
-    vec = F.transform(x, lambda v: F.floor(v * scale).cast("long"))
+    vec = F.transform(x, lambda v: F.when(F.abs(v) < float(1 << 53), F.floor(v).cast("double")).otherwise(v) + F.lit(0.0))
     return usable.select(F.col(id_column).cast("long").alias("id"), vec.alias("vec"))
 
 
+_whole_numbers = np.frompyfunc(int, 1, 1)
+
+
 def products(queries: np.ndarray, tile: np.ndarray) -> np.ndarray:
-    """Exact inner products as int64: through float64 where no sum can pass 2**53, else in integers."""
-    most = int(np.abs(queries).max(initial=0)) * int(np.abs(tile).max(initial=0)) * max(1, queries.shape[1])
+    """Exact inner products of whole doubles: through float64 where no sum can pass 2**53, in int64 where none can reach
+    the mark NONE, else as Python's integers of any size."""
+    most = float(np.abs(queries).max(initial=0)) * float(np.abs(tile).max(initial=0)) * max(1, queries.shape[1])
     if most < 1 << 53:
-        return (queries.astype(np.float64) @ tile.astype(np.float64).T).astype(np.int64)
-    if most < -NONE:
-        return queries @ tile.T
-    raise OverflowError("inner products do not fit in 64 bits")
+        return (queries @ tile.T).astype(np.int64)
+    if most < 1 << 62:
+        return queries.astype(np.int64) @ tile.astype(np.int64).T
+    return _whole_numbers(queries) @ _whole_numbers(tile).T
 
 
 def _select(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Per row the k best by (score descending, id ascending); ids and scores are of one shape."""
+    if scores.dtype == object:
+        rows = [sorted(zip(r, i, strict=True), key=lambda x: (-x[0], x[1]))[:k] for r, i in zip(scores, ids.tolist(), strict=True)]
+        best = np.empty((len(rows), min(k, scores.shape[1])), object)
+        best[:] = [[score for score, _ in r] for r in rows]
+        return np.array([[i for _, i in r] for r in rows], np.int64).reshape(best.shape), best
     if scores.shape[1] > k:  # keep all that tie with the k-th, then order exactly
         floor = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
         width = int((scores >= floor[:, None]).sum(axis=1).max())
@@ -59,6 +72,14 @@ def _select(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np
     return np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
 
 
+def _reported(score: int) -> tuple[int, bytes | None]:
+    """A score as the nearest long, and as bytes if it is not below the longs' limits."""
+    limit = (1 << 63) - 1
+    if abs(score) < limit:
+        return score, None
+    return max(-limit - 1, min(limit, score)), (score + (1 << (8 * WIDE - 1))).to_bytes(WIDE, "big")
+
+
 def without_repeats(part: pd.DataFrame, last: tuple | None) -> tuple[pd.DataFrame, tuple]:
     """Drop rows equal to the row before (the part is sorted by kind, id and vec); `last` is the row before the part."""
     keep = np.ones(len(part), bool)
@@ -74,15 +95,30 @@ class Block:
 
     def __init__(self, rows: list[tuple[int, np.ndarray]]):
         self.ids = np.array([i for i, _ in rows], np.int64)
-        self.vectors = np.array([v for _, v in rows], np.int64)
+        self.vectors = np.array([v for _, v in rows], np.float64)
         self.top_ids = self.top = np.zeros((len(rows), 0), np.int64)
 
     def meet(self, tile_ids: np.ndarray, tile: np.ndarray, k: int) -> None:
         scores = products(self.vectors, tile)
-        scores[self.ids[:, None] == tile_ids] = NONE
+        same = self.ids[:, None] == tile_ids
+        if scores.dtype == object or self.top.dtype == object:
+            scores, self.top = scores.astype(object), self.top.astype(object)
+            self.top[self.top == NONE] = -math.inf
+            scores[same] = -math.inf
+        else:
+            scores[same] = NONE
         ids, top = _select(np.broadcast_to(tile_ids, scores.shape), scores, k)
         self.top_ids, self.top = _select(np.hstack([self.top_ids, ids]), np.hstack([self.top, top]), k)
 
+    def found(self, cell: int) -> pd.DataFrame:
+        query_ids, vec_ids, top = np.repeat(self.ids, self.top.shape[1]), self.top_ids.ravel(), self.top.ravel()
+        real = top != (-math.inf if top.dtype == object else NONE)
+        scores, wide = top[real], None
+        if top.dtype == object:
+            reported = [_reported(score) for score in scores]
+            scores, wide = np.array([score for score, _ in reported], np.int64), [w for _, w in reported]
+        return pd.DataFrame({"query_id": query_ids[real], "cell": cell, "vec_id": vec_ids[real], "score": scores, "wide": wide})
+
 
 def search_cells(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,13 +139,11 @@ def search_cells(k: int):
                     own = rest[sizes == d]
                     for s in range(0, len(own), TILE):
                         tile = own.iloc[s : s + TILE]
-                        vectors = np.stack(tile["vec"].to_numpy()).astype(np.int64)
+                        vectors = np.stack(tile["vec"].to_numpy())
                         for block in of_length:
                             block.meet(tile["id"].to_numpy(np.int64), vectors, k)
             for block in (b for of_length in blocks.values() for b in of_length):
-                n = block.top.shape[1]
-                out = pd.DataFrame({"query_id": np.repeat(block.ids, n), "cell": cell, "vec_id": block.top_ids.ravel(), "score": block.top.ravel()})
-                yield out[out["score"] != NONE]
+                yield block.found(cell)
 
     return run
 
@@ -129,8 +163,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, candidate_parts: int, qu
     )
     cells = queries.unionByName(candidates).select((F.col("_q") * candidate_parts + F.col("_c")).cast("long").alias("cell"), "kind", "id", "vec")
     dealt = cells.repartition(candidate_parts * query_parts, "cell").sortWithinPartitions("cell", "kind", "id", "vec")
-    found = dealt.mapInPandas(search_cells(k), "query_id long, cell long, vec_id long, score long")
-    best = lambda *by: Window.partitionBy(*by).orderBy(F.desc("score"), "vec_id")
+    found = dealt.mapInPandas(search_cells(k), "query_id long, cell long, vec_id long, score long, wide binary")
+    best = lambda *by: Window.partitionBy(*by).orderBy(F.desc("score"), F.desc_nulls_last("wide"), "vec_id")
     branch = found.withColumn("branch", F.col("cell") % 16).withColumn("rank", F.row_number().over(best("query_id", "branch"))).filter(F.col("rank") <= k)
     merged = branch.withColumn("rank", F.row_number().over(best("query_id"))).filter(F.col("rank") <= k)
     return merged.select("query_id", "rank", "vec_id", "score")
