@@ -25,6 +25,14 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def free_name(rows: DataFrame, name: str) -> str:
+    """`name`, with underscores before it until no column of `rows` is called so."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body(value)` with `value` evaluated once for a row, however often the body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -21,7 +21,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, let, table
+from .common import LOWER, UPPER, free_name, let, table
 
 #: Base phrases and their labels.
 PHRASES = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
@@ -153,23 +153,25 @@ def licence_scan(rows: DataFrame, text: str = "text") -> DataFrame:
 
     words = F.regexp_extract_all(F.translate(value, UPPER, LOWER), F.lit(WORD), F.lit(0))
     gate = value.rlike(gate_pattern())
+    held = free_name(rows, "_l")
+    of = lambda name: F.col(f"`{held}`")[name]
     found = rows.withColumns(
         {
             "n_words": F.regexp_count(value, F.lit(ANY_CASE_WORD)).cast("long"),
-            "_l": F.when(gate, let(words, scan)).otherwise(nothing),
+            held: F.when(gate, let(words, scan)).otherwise(nothing),
         }
     )
     labels = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     return found.withColumns(
         {
-            "n_base": F.size("_l.places").cast("long"),
-            "first_word": F.array_min("_l.places").cast("long"),
-            "last_word": F.array_max("_l.places").cast("long"),
-            "base_labels": labels(F.col("_l.base")),
-            "labels": labels(F.concat("_l.base", "_l.found")),
-            "score": F.col("_l.score"),
+            "n_base": F.size(of("places")).cast("long"),
+            "first_word": F.array_min(of("places")).cast("long"),
+            "last_word": F.array_max(of("places")).cast("long"),
+            "base_labels": labels(of("base")),
+            "labels": labels(F.concat(of("base"), of("found"))),
+            "score": of("score"),
         }
-    ).drop("_l")
+    ).drop(held)
 
 
 def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

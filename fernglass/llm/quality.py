@@ -21,13 +21,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, SPACE, let, table
-
-#: Fillers and notices of web pages.
-MENU = "home|menu|login|log in|sign in|sign up|register|search|contact|about|about us|next|previous|back|share|print|sitemap|top"
+from .common import NOT_SPACE, SPACE, free_name, let, table
+
+#: Fillers and notices of web pages in English, German, French and Spanish.
+MENU = (
+    "home|menu|login|log in|sign in|sign up|register|search|contact|about|about us|next|previous|back|share|print|sitemap|top|"
+    "startseite|menü|anmelden|registrieren|suche|kontakt|impressum|[Üü]ber uns|weiter|zurück|teilen|drucken|"
+    "accueil|connexion|rechercher|recherche|suivant|précédent|retour|partager|imprimer|"
+    "inicio|menú|iniciar sesión|buscar|contacto|siguiente|anterior|volver|compartir|imprimir"
+)
 NOTICES = (
     "all rights reserved|privacy policy|terms of (use|service)|cookie (policy|settings|notice)|accept (all )?cookies|"
-    "enable javascript|javascript (is )?(disabled|required)|lorem ipsum|click here|subscribe to our|skip to (main )?content"
+    "enable javascript|javascript (is )?(disabled|required)|lorem ipsum|click here|subscribe to our|skip to (main )?content|"
+    "alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|tous droits réservés|politique de confidentialité|"
+    "mentions légales|todos los derechos reservados|política de privacidad|aviso legal"
 )
 MENU_LINE = rf"(?i)^[\x20\x09-\x0D]*({MENU})([\x20\x09-\x0D>/·-]+({MENU}))*[\x20\x09-\x0D]*$"
 NOTICE_LINE = rf"(?i)({NOTICES})"
@@ -36,7 +43,9 @@ NOISY_WORD = rf"([#*$%&<>]|!!|\?\?){NOT_SPACE}*({SPACE}|$)"
 #: A word of 1 to 64 characters, then the same word eight times more: an 8-word window that repeats.
 STUTTER = rf"(^|{SPACE})({NOT_SPACE}{{1,64}}+)({SPACE}+\2){{8}}({SPACE}|$)"
 NOTICE_PARTS = (
-    "rights reserved", "privacy policy", "terms of", "cookie", "javascript", "lorem ipsum", "click here", "subscribe to", "skip to"
+    "rights reserved", "privacy policy", "terms of", "cookie", "javascript", "lorem ipsum", "click here", "subscribe to", "skip to",
+    "rechte vorbehalten", "datenschutz", "nutzungsbedingungen", "droits réservés", "confidentialité", "mentions légales",
+    "derechos reservados", "privacidad", "aviso legal",
 )
 WORD = f"{NOT_SPACE}+"
 WINDOW = 8
@@ -125,23 +134,25 @@ def quality_rules(
         n = F.size(words).cast("long").alias("n_words")
         return let(repeated_words(words), lambda r: F.struct(n, r.alias("n_repeat_words"), clean(r).alias("clean")))
 
+    held = free_name(rows, "_q")
+    q = lambda name: F.col(f"`{held}`")[name]
     worded = F.filter(lines, lambda x: x.rlike(NOT_SPACE))
     chars = word_chars(value)
-    lost = F.when(F.col("_q.clean") == value, F.lit(0).cast("long")).otherwise(chars - word_chars(F.col("_q.clean")))
-    counted = rows.withColumn("_q", let(words_of(value), judge)).withColumns(
+    lost = F.when(q("clean") == value, F.lit(0).cast("long")).otherwise(chars - word_chars(q("clean")))
+    counted = rows.withColumn(held, let(words_of(value), judge)).withColumns(
         {
-            "n_words": F.col("_q.n_words"),
-            "n_repeat_words": F.col("_q.n_repeat_words"),
+            "n_words": q("n_words"),
+            "n_repeat_words": q("n_repeat_words"),
             "word_chars": chars,
             "n_symbols": F.regexp_count(value, F.lit(r"[#*$%&|<>]")).cast("long"),
             "n_dup_lines": let(worded, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-            "clean_text": F.col("_q.clean"),
+            "clean_text": q("clean"),
             "lost_chars": lost,
-            "base_failed": (F.col("_q.n_words") < 20) | (F.col("_q.n_repeat_words") * 100 > F.col("_q.n_words") * 30),
+            "base_failed": (q("n_words") < 20) | (q("n_repeat_words") * 100 > q("n_words") * 30),
         }
     )
     verdict = ~F.col("base_failed") & (F.col("lost_chars") * 100 <= F.col("word_chars") * lost_share)
-    return counted.withColumn("kept", verdict).drop("_q")
+    return counted.withColumn("kept", verdict).drop(held)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

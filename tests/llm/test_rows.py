@@ -13,6 +13,11 @@ DOCS = "doc_id long, text string, source string, kept string, shard string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+@pytest.fixture(scope="module")
+def trees(spark):
+    return secret_scan.train(secret_scan.sample_findings(spark, 1500), trees=8)
+
+
 def docs(spark, texts):
     return spark.createDataFrame([(i, t, "src1", "x", "y") for i, t in texts], DOCS)
 
@@ -71,6 +76,51 @@ def test_quality_counts_against_brute_force(spark):
         assert r.base_failed == (n < 20 or 100 * rep > 30 * n) and not (r.kept and r.base_failed)
 
 
+def brute_verdict(text):
+    """(kept, clean text, lost characters) by the rules as they are written down, line by line."""
+    text = text or ""
+    n, chars, _, _, rep = base_counts(text)
+    clean = []
+    for line in text.split("\n"):
+        words = WORD.findall(line)
+        noisy = sum(bool(re.search(r"[#*$%&<>]|!!|\?\?", w)) for w in words)
+        fails = line.count("|") >= 2 or noisy * 100 > len(words) * 20
+        fails |= len(words) >= 30 and not re.search(r"[.!?:;…。！？]", line)
+        fails |= bool(re.search(quality.MENU_LINE, line) or re.search(quality.NOTICE_LINE, line))
+        fails |= any(len(w) <= 64 and words[i : i + 9] == [w] * 9 for i, w in enumerate(words))
+        if not fails:
+            clean.append(line)
+    clean = "\n".join(clean)
+    lost = chars - sum(map(len, WORD.findall(clean)))
+    return not (n < 20 or 100 * rep > 30 * n) and lost * 100 <= chars * 50, clean, lost
+
+
+def test_quality_verdict_against_brute_force(spark):
+    draw = random.Random(21)
+    parts = ["home | next | back", "The mill stood below the river.", "bu##y no%% wa$$ now", "All Rights Reserved", "Alle Rechte vorbehalten", "Startseite", "Accueil > Contact",
+             "word " * 12, "w " * 31, "a!! b?? c", "so it goes, and goes on; " * 3, "", "x" * 70, "aviso legal: privacidad", "Menü · Suche", "é ü ñ ¿qué? " * 4]
+    texts = ["\n".join(draw.choice(parts) for _ in range(draw.randint(1, 12))) for _ in range(250)]
+    texts += [None, "", "word\x85\x1c " * 40, " ".join(f"w{k}." for k in range(30_000)), *texts[:2]]
+    texts += [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    frame = spark.createDataFrame([(i, t, 1, "n", 2.0) for i, t in enumerate(texts)], "doc_id long, text string, _q int, clean_text string, kept double")
+    rows = quality.quality_rules(frame).collect()
+    assert len(rows) == len(texts) and {r._q for r in rows} == {1}
+    for r in rows:
+        assert (r.kept, r.clean_text, r.lost_chars) == brute_verdict(texts[r.doc_id]), texts[r.doc_id]
+    assert 20 < sum(r.kept for r in rows) < len(rows) - 20
+
+
+def test_odd_input_of_licences_and_secrets(spark, trees):
+    long = "word, " * 200_000 + "Licensed under the Apache License, Version 2.0 " + 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'
+    rows = [(1, long, None, 5, 6, 7), (1, long, None, 5, 6, 7), (None, None, None, 5, 6, 7)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, _l int, findings int, score int")
+    found = licences.licence_scan(frame).collect()
+    assert [(r.labels, r.n_base, r._l) for r in found] == [("apache", 1, 5)] * 2 + [("", 0, 5)]
+    assert licences.licence_scan(frame.limit(0)).count() == 0
+    found = secret_scan.scan_secrets(frame, trees=trees).collect()
+    assert [len(r.findings) for r in found] == [1, 1, 0] and all(r.redacted.endswith('token = "[SECRET]"') for r in found[:2]) and found[2].redacted is None
+
+
 def test_quality_lines(spark):
     prose = "The river turned east below the old mill and we followed it all afternoon.\nNobody spoke much, because the heat was great and the road was long."
     junk = ["home | menu | next | back", "bu##y no%% wa$$ it%% ok", "All rights reserved.", "Home / About / Contact", "no mark " * 20]
@@ -142,11 +192,6 @@ def test_licence_templates_without_the_word_licence(spark):
         assert found[i] == (brute_templates(text)[0], pytest.approx(brute_templates(text)[1]))
 
 
-@pytest.fixture(scope="module")
-def trees(spark):
-    return secret_scan.train(secret_scan.sample_findings(spark, 1500), trees=8)
-
-
 def test_secret_forest_on_held_out_findings(spark, trees):
     from pyspark.sql import functions as F
 

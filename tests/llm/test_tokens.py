@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -204,3 +205,45 @@ def test_pipeline(spark):
     for r in rows[:50]:
         whole = [*library.encode(texts[r.doc_id][0], add_special_tokens=False).ids, 0]
         assert r.ids_crc32 == zlib.crc32(np.array(whole[r.start : r.start + r.length], "<u4").tobytes())
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Every row of the pipeline on a small table: rules by hand, all pairs of sets, planted secrets, library ids."""
+    import corpus_pipeline
+    from test_rows import brute_verdict
+    from test_sets import brute_components
+
+    draw = random.Random(31)
+    words = ["river", "mill", "stone", "house", "evening", "winter", "letter", "morning", "garden", "window", "table", "journey", "village", "bridge", "market"]
+    prose = lambda n: "\n".join(" ".join(draw.choice(words) for _ in range(draw.randint(6, 14))).capitalize() + "." for _ in range(n))
+    key = lambda: "".join(draw.choice("0123456789abcdef") for _ in range(40))
+    texts = [None, "", "too short"]
+    for k in range(30):
+        text = prose(draw.randint(4, 60))
+        if k % 3 == 0:
+            text += f'\nThe note said token = "{key()}" and no more.'
+        if k % 4 == 0:
+            text = "home | next | back\n" + text
+        texts += [text, text + " So it ends."] if k % 5 == 0 else [text]
+    texts += ["home | next | back\n" * 30, "word " * 400, prose(900)]
+    ids = [*draw.sample(range(1000), len(texts) - 2), None, 2**53 + 1]
+    rows = list(zip(ids, texts, ["en"] * len(texts), [f"s{k % 3}" for k in range(len(texts))], [len(t or "") for t in texts], strict=True))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+
+    kept = [(i, clean) for i, t in zip(ids, texts, strict=True) for ok, clean, _ in [brute_verdict(t)] if ok]
+    groups = defaultdict(list)
+    for (i, text), (_, _, root) in zip(kept, brute_components([t for _, t in kept]), strict=True):
+        groups[root].append((i is None, i or 0, text))
+    kept = [(None if no_id else i, text) for no_id, i, text in map(min, groups.values())]
+    assert 0 < len(kept) < len(rows) - 5
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = []
+    for i, text in kept:
+        whole = [*library.encode(re.sub(r'token = "[0-9a-f]{40}"', 'token = "[SECRET]"', text), add_special_tokens=False).ids, 0]
+        first = len(whole) % 2048 or min(len(whole), 2048)
+        bounds = [0, *range(first, len(whole) + 1, 2048)]
+        want += [(i, k, a, b - a, zlib.crc32(np.array(whole[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(bounds, bounds[1:]))]
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in found), key=repr) == sorted(want, key=repr)
+    assert check_packing(found, 2048) == -(-sum(w[3] for w in want) // 2048)
