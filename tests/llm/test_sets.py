@@ -58,7 +58,24 @@ def cheapest(own):
     return best
 
 
-def test_chat_repair_against_brute_force(spark):
+@pytest.mark.parametrize("parts", [1, 3])
+def test_topk_of_large_components(spark, parts):
+    draw = random.Random(5)
+    rows = [(i, [draw.choice([1e300, -1e300, 1e15, 0.3, -7.5, 1e9, 2.0**60]) for _ in range(3)]) for i in range(120)]
+    rows += [(150, [1e308, 1.0, 1.0]), (200, [3e7, 3e7, 1.0]), (201, [2.0, 2.0, 2.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = topk.top_k(topk.integer_vectors(frame, "vec_id", "embedding", 256), topk.F.col("id") % 50 == 0, 5, parts, 1).collect()
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in rows if math.isfinite(256 * max(map(abs, v)))}
+    want = []
+    for q in whole:
+        if q % 50 == 0:
+            best = sorted((-sum(x * y for x, y in zip(whole[q], b, strict=True)), j) for j, b in whole.items() if j != q)[:5]
+            want += [(q, n + 1, j, max(-(2**63), min(2**63 - 1, -s))) for n, (s, j) in enumerate(best)]
+    assert {q for q, *_ in want} == {0, 50, 100, 200} and sorted(tuple(r) for r in found) == sorted(want)
+
+
+@pytest.mark.parametrize(("segment", "crowd", "size"), [(2, 1 << 16, 4096), (64, 3, 2), (3, 1, 1)])
+def test_chat_repair_against_brute_force(spark, segment, crowd, size):
     draw = random.Random(2)
     turns, own = [], {}
     for conv in range(60):
@@ -67,7 +84,7 @@ def test_chat_repair_against_brute_force(spark):
         turns += [(conv, t, r, f"t{t}", 9) for t, r in enumerate(roles)]
     turns += [(None, None, "user", None, 1), (99, 5, "user", "same", 1), (99, 5, "user", "same", 1)]
     frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, cost int")
-    found = chat.repair_roles(frame, segment=2).collect()
+    found = chat.repair_roles(frame, segment, crowd, size).collect()
     assert len(found) == len(turns)
     for conv, roles in own.items():
         rows = sorted((r for r in found if r.conv_id == conv), key=lambda r: (r.segment, r.position))
@@ -80,6 +97,20 @@ def test_chat_repair_against_brute_force(spark):
     assert chat.repair_roles(frame.limit(0)).count() == 0
 
 
+def test_chat_with_crowded_segments_and_long_conversations(spark):
+    draw = random.Random(9)
+    roles = ["system", "user", "assistant", "tool", None]
+    turns = [(2**53 + 1, t, draw.choice(roles), f"t{t}") for t in range(700)]
+    turns += [(None, draw.choice([None, 7, 2**53 + 1]), draw.choice(roles), draw.choice(["", None, "x" * 3000, "same"])) for _ in range(500)]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    whole, cut_up = chat.repair_roles(frame, 10**6, 10**6).collect(), chat.repair_roles(frame, 64, 20, 7).collect()
+    text = lambda rows, conv: "".join(r.rendered for r in sorted((r for r in rows if r.conv_id == conv), key=lambda r: (r.segment, r.position)))
+    for conv in (2**53 + 1, None):
+        assert text(whole, conv) == text(cut_up, conv) and text(whole, conv)
+        assert len({r.cost for r in [*whole, *cut_up] if r.conv_id == conv}) == 1
+    assert {r.turn for r in cut_up if r.conv_id is None} == {None, 7, 2**53 + 1}
+
+
 def near_texts():
     draw = random.Random(4)
     words = [f"W{k}" for k in range(300)]
