@@ -400,7 +400,8 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     hot = bool((parts_of(order) > 1).any())
     families = connected_components(family_edges(prefix_rows(docs, order, width, percent), percent, hot), cut=cut)
     # One row a set: the smallest id of its documents stands for it. Sets without an id stay out.
-    ids = every.where("not no_id and n > 0").groupBy("sid", "sid2").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    # Written, so that the last join does not share a shuffle with this one, and a set of very many copies can be split there.
+    ids = cut(every.where("not no_id and n > 0").groupBy("sid", "sid2").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")))
     dealt = cut(blocks_of_families(ids.join(families.select(F.col("node").alias("sid"), F.col("component").alias("fam")), "sid")))
     links = cut(family_links(texts_of(docs, first_cells(dealt).select(CELL)), width, percent))
     roots = connected_components(links, cut=cut)
