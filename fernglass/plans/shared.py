@@ -14,7 +14,7 @@ _own: list[tempfile.TemporaryDirectory] = []
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder under spark.checkpoint.dir; a local one only where that is unset and everything runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local["):
+    if not base and spark.sparkContext.master.partition("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir has to name a folder that all executors reach")
     if not base:
         if not _own:
