@@ -1,11 +1,14 @@
 """Licence scan with a positional index over the rare words of licence templates.
 
-Each template's words get an inverse document frequency among the templates; the rare ones (found in at most
-`RARE` templates) form a positional index word -> (template, position). In a file every rare word's postings
-vote for the offset `file position - template position`; an offset is a candidate place of the template. There
-the template is laid over the file word by word, and it counts as found if enough of its words agree and all
-its mandatory phrases stand at their places. The index is fixed and small, so all of this happens inside the
-row, with built-in functions: one scan, no shuffle, no Python.
+Every word of a template is a posting (template, position) with the word's inverse document frequency (IDF) among the
+templates. A template is found where at least `AGREE` of its words stand at their places; so of n words it may miss
+e, and those that the file does not hold at all are missed at every place. Of the template's words that the file does
+hold, those of the highest IDF are looked up, as many as may still be missed and two more: at a place of the template
+at least two of them agree. Their places are moved back by their positions in the template and intersected: only
+offsets on which two words meet remain. There the template is laid over the file word by word, and its mandatory
+phrase has to stand. So no place is lost, and a file's frequent words are looked up only where rarer ones do not do.
+The index is fixed and small, so all of this happens inside the row, with built-in functions: one scan, no shuffle,
+no Python.
 
 Base: places where a phrase's words stand consecutively (mit license, apache license, general public license).
 
@@ -16,6 +19,7 @@ places are all counted; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,10 +44,15 @@ TEMPLATES: list[tuple[str, str, str]] = [
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "source and binary forms"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license", "mozilla public license"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee"),
+    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at", "in compliance with the license"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", "endorse or promote products"),
+    ("bsl", "boost software license version 1 0", "boost software license"),
+    ("cc0", "to the extent possible under law the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide", "copyright and related and neighboring rights"),
+    ("epl", "the accompanying materials are made available under the terms of the eclipse public license", "eclipse public license"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", "without warranty of any kind express or implied"),
+    ("zlib", "in no event will the authors be held liable for any damages arising from the use of this software", "will the authors be held liable"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software"),
 ]
-#: A word is rare if no more templates than this hold it.
-RARE = 3
 #: Share of a template's words that must agree at a place.
 AGREE = 0.7
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -53,15 +62,29 @@ ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 
-def index() -> dict[str, list[tuple[int, int]]]:
-    """word -> postings (template, position), for rare words only."""
-    held = Counter(w for _, body, _ in TEMPLATES for w in set(body.split()))
-    found: dict[str, list[tuple[int, int]]] = {}
-    for t, (_, body, _) in enumerate(TEMPLATES):
-        for p, w in enumerate(body.split()):
-            if held[w] <= RARE and len(w) > 1 and not w.isdigit():
-                found.setdefault(w, []).append((t, p))
-    return found
+def words_by_idf() -> list[list[tuple[str, int]]]:
+    """For each template its words and their positions, the highest IDF first."""
+    bodies = [body.split() for _, body, _ in TEMPLATES]
+    held = Counter(w for body in bodies for w in set(body))
+    idf = {w: math.log(len(bodies) / n) for w, n in held.items()}
+    return [sorted(zip(body, range(len(body)), strict=True), key=lambda posting: (-idf[posting[0]], posting[1])) for body in bodies]
+
+
+def least_agreeing(n: int) -> int:
+    """How many of a template's n words have to agree at a place."""
+    return next(k for k in range(n + 1) if k / n >= AGREE)
+
+
+def index() -> Column:
+    """The templates as one constant: name, body, mandatory phrase with its place, words by IDF, least number in agreement."""
+    out = []
+    for (name, body, must), postings in zip(TEMPLATES, words_by_idf(), strict=True):
+        body, must = body.split(), must.split()
+        at = next(p for p in range(len(body)) if body[p : p + len(must)] == must)
+        words = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(p).alias("p")) for w, p in postings])
+        fields = {"name": F.lit(name), "body": _strings(body), "must": _strings(must), "at": F.lit(at), "words": words, "least": F.lit(least_agreeing(len(body)))}
+        out.append(F.struct(*[value.alias(field) for field, value in fields.items()]))
+    return F.array(*out)
 
 
 def gate_pattern() -> str:
@@ -92,49 +115,54 @@ def _all(tests: list[Column]) -> Column:
     return out
 
 
-def template_score(words: Column, rare: Column, t: int, anchors: list[tuple[str, int]]) -> Column:
-    """Best share of template t's words in agreement at an offset that rare words vote for; 0 below AGREE.
+def looked_up(template: Column, present: Column) -> Column:
+    """The template's words to look up in a file that holds the words `present`: none if too many are missing, else
+    those of the highest IDF, two more than may be missed among them."""
 
-    `rare` holds struct(w, i) of the file's rare words, so looking up postings never walks the whole file."""
-    body, must = TEMPLATES[t][1].split(), TEMPLATES[t][2].split()
-    at = next(p for p in range(len(body)) if body[p : p + len(must)] == must)
+    def highest(have: Column) -> Column:
+        return F.slice(have, F.lit(1), F.when(F.size(have) >= template["least"], F.size(have) - template["least"] + 2).otherwise(0))
 
-    def offsets(word: str, position: int) -> Column:
-        return F.transform(F.filter(rare, lambda x: x["w"] == word), lambda x: x["i"] - position)
+    return let(F.filter(template["words"], lambda a: F.array_contains(present, a["w"])), highest)
 
-    votes = F.flatten(F.array(*[offsets(w, p) for w, p in anchors]))
+
+def template_score(words: Column, held: Column, template: Column, chosen: Column) -> Column:
+    """Best share of the template's words in agreement where two of the `chosen` ones meet; 0 below AGREE.
+
+    `held` are struct(w, i) of the file's words that are looked up, so postings never walk the whole file."""
 
     def share(offset: Column) -> Column:
-        mandatory = F.coalesce(_all([F.get(words, offset + at + k) == w for k, w in enumerate(must)]), F.lit(False))
-        same = F.aggregate(
-            F.transform(_strings(body), lambda w, p: F.coalesce((F.get(words, offset + p) == w).cast("int"), F.lit(0))),
-            F.lit(0),
-            lambda total, hit: total + hit,
-        )
-        return F.when(mandatory, same.cast("double") / len(body)).otherwise(F.lit(0.0))
+        start = offset + template["at"]
+        mandatory = F.when(start >= 0, F.slice(words, start + 1, F.size(template["must"])) == template["must"]).otherwise(False)
+        same = F.size(F.filter(template["body"], lambda w, p: F.coalesce(F.get(words, offset + p) == w, F.lit(False))))
+        return F.when(mandatory & (same >= template["least"]), same.cast("double") / F.size(template["body"])).otherwise(0.0)
 
-    best = F.coalesce(F.array_max(F.transform(F.array_distinct(votes), share)), F.lit(0.0))
-    return F.when(best >= AGREE, best).otherwise(F.lit(0.0))
+    offsets = F.flatten(F.transform(chosen, lambda a: F.transform(F.filter(held, lambda x: x["w"] == a["w"]), lambda x: x["i"] - a["p"])))
+    # A word and its position give an offset once: where one stands twice, two of them meet.
+    met = let(F.array_sort(offsets), lambda found: F.filter(found, lambda o, k: F.coalesce(F.get(found, k + 1) == o, F.lit(False))))
+    return F.coalesce(F.array_max(F.transform(F.array_distinct(met), share)), F.lit(0.0))
 
 
 def licence_scan(rows: DataFrame, text: str = "text") -> DataFrame:
     """Add n_words, n_base, first_word, last_word, base_labels, labels and score to `rows`."""
     value = F.coalesce(F.col(text), F.lit(""))
-    postings = index()
-    anchors: dict[int, list[tuple[str, int]]] = {}
-    for w, places in postings.items():
-        for t, p in places:
-            anchors.setdefault(t, []).append((w, p))
-    lookup = _strings(sorted(postings))
+    templates = index()
+    vocabulary = _strings(sorted({w for _, body, _ in TEMPLATES for w in body.split()}))
     names = [name for name, _, _ in TEMPLATES]
     empty = F.array().cast("array<string>")
     nothing = F.struct(F.array().cast("array<int>").alias("places"), empty.alias("base"), empty.alias("found"), F.lit(0.0).alias("score"))
 
     def scan(words: Column) -> Column:
-        rare = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(lookup, x["w"]))
+        chosen = let(F.array_intersect(vocabulary, words), lambda present: F.transform(templates, lambda t: looked_up(t, present)))
+
+        def lookup(chosen: Column) -> Column:
+            wanted = F.array_distinct(F.transform(F.flatten(chosen), lambda a: a["w"]))
+            return let(wanted, lambda w: let(places_of(w), lambda held: verdict(chosen, held)))
+
+        def places_of(wanted: Column) -> Column:
+            return F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(wanted, x["w"]))
 
-        def verdict(held: Column) -> Column:
-            scores = F.array(*[template_score(words, held, t, anchors[t]) for t in range(len(TEMPLATES))])
+        def verdict(chosen: Column, held: Column) -> Column:
+            scores = F.zip_with(templates, chosen, lambda t, c: template_score(words, held, t, c))
             places = [phrase_places(words, phrase) for phrase in PHRASES]
             base = F.array_compact(F.array(*[F.when(F.size(p) > 0, F.lit(label)) for p, label in zip(places, PHRASES.values(), strict=True)]))
 
@@ -149,7 +177,7 @@ def licence_scan(rows: DataFrame, text: str = "text") -> DataFrame:
 
             return let(scores, combine)
 
-        return let(rare, verdict)
+        return let(chosen, lookup)
 
     words = F.regexp_extract_all(F.translate(value, UPPER, LOWER), F.lit(WORD), F.lit(0))
     gate = value.rlike(gate_pattern())

@@ -192,6 +192,39 @@ def test_licence_templates_without_the_word_licence(spark):
         assert found[i] == (brute_templates(text)[0], pytest.approx(brute_templates(text)[1]))
 
 
+def test_licence_templates_against_brute_force(spark):
+    """Templates with words replaced, left out and put in, among each other and among frequent words."""
+    draw = random.Random(31)
+    fill = ["the", "of", "license", "software", "and", "x", "public", "to"]
+    texts = []
+    for _ in range(300):
+        words = [draw.choice(fill) for _ in range(draw.randint(0, 12))]
+        for _ in range(draw.randint(1, 3)):
+            body = draw.choice(licences.TEMPLATES)[1].split()
+            for _ in range(draw.randint(0, 1 + len(body) * 4 // 10)):
+                body[draw.randrange(len(body))] = draw.choice(fill)
+            if draw.random() < 0.2:
+                body.insert(draw.randrange(len(body)), "x")
+            words += body[draw.randint(0, 2) :] + [draw.choice(fill) for _ in range(draw.randint(0, 5))]
+        texts.append(" ".join(words))
+    right = 0
+    for r in licences.licence_scan(docs(spark, enumerate(texts))).collect():
+        labels, best = brute_templates(texts[r.doc_id])
+        own = set(filter(None, labels.split(",")))
+        base = set(filter(None, r.base_labels.split(",")))
+        assert set(filter(None, r.labels.split(","))) == own | base, texts[r.doc_id]
+        assert r.score == pytest.approx(max(best, 0.5 if base else 0.0)), texts[r.doc_id]
+        right += bool(own)
+    assert 60 < right < 300
+
+
+def test_words_that_may_be_missed(spark):
+    for (_, body, must), postings in zip(licences.TEMPLATES, licences.words_by_idf(), strict=True):
+        n, least = len(body.split()), licences.least_agreeing(len(body.split()))
+        assert least / n >= licences.AGREE > (least - 1) / n and 2 <= least and must in body and body == body.lower()
+        assert sorted(postings, key=lambda x: x[1]) == list(zip(body.split(), range(n), strict=True))
+
+
 def test_secret_forest_on_held_out_findings(spark, trees):
     from pyspark.sql import functions as F
 
