@@ -19,7 +19,7 @@ Words for the base score travel the same way: a block's distinct words meet thei
 word has a row per block and not per occurrence.
 
 Edge cases: a null text counts as empty and is scored by its end alone; a null doc_id counts as the text '' when
-dealing out folds and blocks; without training documents counts are 0 and every byte costs 8 bits; repeated rows
+dealing out folds; blocks go by id and text; without training documents counts are 0 and every byte costs 8 bits; repeated rows
 count and are scored each; an empty table gives an empty result.
 """
 
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import BLOCK as ARRAY_BLOCK
@@ -341,6 +341,11 @@ def scored_rows(batches: Iterator[pd.DataFrame], n_train: int, vocabulary: int,
         )
 
 
+def block_of(n_blocks: int) -> Column:
+    """A row's block. The text takes part, so that neither null ids nor an id of many rows make a large block."""
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks))
+
+
 def ctw_scores(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Learn from the documents whose crc32(doc_id as text) mod 5 is not 1 and score all of them."""
     if not 2 < depth < 7:
@@ -350,7 +355,7 @@ def ctw_scores(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYT
     n_blocks = size // block_bytes + 1
     as_text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     dealt = numbered(
-        docs.select("doc_id", "text", (F.crc32(as_text) % 5 == 1).alias("held_out"), F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).alias("block"))
+        docs.select("doc_id", "text", (F.crc32(as_text) % 5 == 1).alias("held_out"), block_of(n_blocks).alias("block"))
     )
     parts = min(n_blocks, 2 * shuffles(spark))
 

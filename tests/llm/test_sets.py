@@ -168,14 +168,15 @@ def test_one_of_each_goes_by_row(spark):
     texts = near_texts()
     rows = [(draw.choice([None, 7, 7, 20 + i, 20 + i]), t, f"s{i}") for i, t in enumerate(texts)]
     rows += [(None, "q r s t u v", "n"), (None, "Q r s t u v", "n"), (None, "clean and alone in its words", "n"), (7, "one of a kind under the id", "n"), rows[40], rows[40]]
-    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    frame = spark.createDataFrame([(*r, 1.5, "k") for r in rows], "doc_id long, text string, source string, _nth double, _key string")
     groups = {}
     for (doc_id, text, _), (i, n, root) in zip(rows, brute_components([t for _, t, _ in rows]), strict=True):
         groups.setdefault(root if n else (doc_id, text), []).append((doc_id is None, doc_id or 0, text))
     want = [(None if no_id else doc_id, text) for no_id, doc_id, text in (min(g, key=lambda x: (x[0], x[1], x[2] or "")) for g in groups.values())]
     found = jaccard.one_of_each(frame)
     assert found.columns == frame.columns
-    assert sorted(((r.doc_id, r.text) for r in found.collect()), key=repr) == sorted(want, key=repr)
+    kept = found.collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted(want, key=repr) and {(r._nth, r._key) for r in kept} == {(1.5, "k")}
     assert jaccard.one_of_each(frame.limit(0)).count() == 0
 
 
@@ -240,6 +241,12 @@ def brute_ctw(train, text, depth):
     return total
 
 
+def test_blocks_of_one_id_are_spread(spark):
+    frame = spark.createDataFrame([(i, f"text {k}") for i in (None, 7) for k in range(400)], "doc_id long, text string")
+    held = frame.groupBy("doc_id", ctw.block_of(8).alias("block")).count().collect()
+    assert len(held) == 16 and max(r["count"] for r in held) < 100
+
+
 def test_ctw_against_the_definition(spark):
     draw = random.Random(9)
     texts = ["".join(draw.choice(["the ", "an", "é", "Ba ", "\n"]) for _ in range(draw.randint(0, 12))) for _ in range(40)] + [None, ""]
