@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from .arrays import blocks_of, combined
 from .bpe import small_batches
-from .common import cut, numbered, renulled, shuffles, sorted_groups, table
+from .common import cut, free_name, numbered, renulled, shuffles, sorted_groups, table
 from .shingles import shingle_sets
 
 WIDTH, PERCENT = 5, 75
@@ -418,8 +418,8 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
 
 def _first_by(rows: DataFrame, key: str) -> DataFrame:
     """One row of each `key`; each task passes on one of its own at most, so a key of many rows makes no hot task."""
-    nth = F.row_number().over(Window.partitionBy(key).orderBy("text"))
-    return rows.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    nth, place = F.row_number().over(Window.partitionBy(key).orderBy("text")), free_name(rows, "_nth")
+    return rows.withColumn(place, nth).where(F.col(place) == 1).drop(place)
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -429,7 +429,9 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     rows with a null id, which come after all others. Ties go to the smaller text; of equal ids and texts one row
     stays. Rows without shingles link with nothing, so each of their ids and texts stays once."""
     key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
-    rows = docs.withColumn("_key", key)
+    own = free_name(docs, "_key")
+    every = docs.withColumn(own, key)
+    rows = every.select(F.col(own).alias("_key"), "doc_id", "text")
     placed = cut(jaccard_components(rows.select(F.col("_key").alias("doc_id"), "text"), width, percent))
     sets = placed.select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_set")).distinct()
     ids = cut(rows.select("_key", "doc_id").distinct().join(sets, "_key").withColumn("_no_id", F.col("doc_id").isNull()))
@@ -443,7 +445,7 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
         several = ids.join(several, "_set", "left_semi").join(best, "_set").where(first.eqNullSafe(F.col("_least"))).select("_key", "_set")
         by_text = rows.select("_key", "text").join(several, "_key").groupBy("_set").agg(F.min_by("_key", "text").alias("_key"))
         keep = keep.unionByName(by_text.select("_key"))
-    return _first_by(rows, "_key").join(keep, "_key", "left_semi").select(docs.columns)
+    return _first_by(every, own).join(keep.select(F.col("_key").alias(own)), own, "left_semi").select(docs.columns)
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
