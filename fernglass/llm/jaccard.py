@@ -3,11 +3,14 @@
 1. Every text becomes the set of its distinct word shingles (64-bit hashes). Texts with equal sets (equal 128-bit
    ids) are one vertex from there on, however many copies there are; a task sends an equal set's shingles once.
 2. A count sketch of fixed size gives one global order, rare shingles first. It decides speed only: any order is
-   right. Two sets that link share a shingle among the first n - ceil(t*n) + 1 of either (prefix filter), and in
-   the smaller set it stands earlier still. The prefix shingles are dealt by hash; inside a shingle's list sets
-   are chained in order of size, and a chain breaks where sizes differ too much for a link. A list of m sets
-   gives m - 1 edges at most, never its pairs. A list that the sketch shows to be hot is dealt by salts: each
-   part is chained by itself, and one set of each size and part is chained again over the whole list.
+   right. Two sets that link share at least k shingles among the first n - ceil(t*n) + k of either (prefix filter), k
+   growing with the smaller set, and in that set they stand earlier still. The prefix shingles are dealt by hash. Of
+   the k at least about half stand in short lists, or about half in long ones. Sets of short lists are paired and the
+   shingles of a pair counted: half of k make an edge. Sets with half of k in long lists are chained inside each
+   of them in order of size, and a chain breaks where sizes differ too much for a link: a list of m sets gives m - 1
+   edges at most, never its pairs. So sets that meet by chance in a few shingles give no edge, of which there are the
+   more the larger the collection is. A list that the sketch shows to be hot is dealt by salts: each part is
+   chained by itself, and one set of each size and part is chained again over the whole list.
 3. Connected components of these edges are families: linked sets are always in one family, and most sets are in
    none. Only the texts of families are sent, to their family's task, and made sets there.
 4. In a task the family's shingles form an inverted index. For a query set the T-occurrence search sets the L
@@ -55,6 +58,9 @@ MU = 0.0085
 SMALL = 250_000
 #: Sets of a family that every one of its blocks is compared with in the first round, for each size class.
 PIVOTS = 8
+#: A set of n has to share 1 + n // SHARE shingles of its prefix with each larger set it links with. Sets of a list that
+#: are paired; longer lists are chained.
+SHARE, PAIRED = 16, 8
 #: Rows of a shingle's list that one task chains; ids that a task remembers as sent.
 LIST, SENT = 1 << 18, 1 << 20
 #: Ids that leave the heap together.
@@ -73,6 +79,11 @@ def overlap_least(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def shared_least(n: int) -> int:
+    """Least number of prefix shingles that a set of n shares with any set of its size or larger that it links with."""
+    return 1 + n // SHARE
+
+
 def _cell(hashes: np.ndarray) -> np.ndarray:
     return (hashes & np.uint64(CELLS - 1)).astype(np.int64)
 
@@ -117,7 +128,7 @@ def parts_of(order: np.ndarray) -> np.ndarray:
 
 def prefix_rows(docs: DataFrame, order: np.ndarray, width: int, percent: int) -> DataFrame:
     """(h, salt, sid, m): the prefix shingles of every set; m is twice its size, plus 1 where the shingle stands too late
-    to be the first that the set shares with a set of its size or larger. salt is -1 unless the shingle's list is hot,
+    to be among the first `shared_least` that the set shares with a set of its size or larger. salt is -1 unless the shingle's list is hot,
     where no shingle counts as late."""
     shared, parts = docs.sparkSession.sparkContext.broadcast(order), parts_of(order)
 
@@ -134,22 +145,48 @@ def prefix_rows(docs: DataFrame, order: np.ndarray, width: int, percent: int) ->
                     sent.clear()
                 sent.add(sid)
                 cells = _cell(s)
-                first = np.argsort(order[cells], kind="stable")[: n - overlap_least(n, percent) + 1]
+                k = shared_least(n)
+                first = np.argsort(order[cells], kind="stable")[: n - overlap_least(n, percent) + k]
                 held = parts[order[cells[first]]]
                 hs.append(s[first])
                 salts.append(np.where(held > 1, sid % held, -1).astype(np.int32))
                 sids.append(np.full(len(first), sid, np.int64))
-                ms.append(2 * n + ((np.arange(len(first)) > n - overlap_needed(n, n, percent)) & (held == 1)))
+                ms.append(2 * n + ((np.arange(len(first)) >= n - overlap_needed(n, n, percent) + k) & (held == 1)))
             if hs:
                 yield pd.DataFrame({"h": np.concatenate(hs).view(np.int64), "salt": np.concatenate(salts), "sid": np.concatenate(sids), "m": np.concatenate(ms)})
 
     return docs.select("text").mapInPandas(run, "h long, salt int, sid long, m int")
 
 
+def _half(n: Column) -> Column:
+    """The half of `shared_least` that two sets share in short lists or in long ones."""
+    return F.floor((2 + F.floor(n / SHARE)) / 2)
+
+
+def met(prefixes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, h, salt, m): for every list of up to PAIRED sets its pairs a, b whose sizes allow a link, the smaller
+    first (m twice its size); for longer and hot lists their rows, with b null. A set counts once in a list."""
+    by_size = Window.partitionBy("h", "salt").orderBy("m", "sid")
+    rows = prefixes.withColumns({"before": F.lag("sid").over(by_size), "after": F.lead("sid").over(by_size)})
+    alone = F.col("before").isNull() & F.col("after").isNull() & (F.col("salt") < 0)
+    rows = rows.where(~alone & (F.col("before").isNull() | (F.col("before") != F.col("sid")))).drop("before", "after")
+    rows = rows.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("h", "salt")))
+    long_ = (F.col("salt") >= 0) | (F.col("size") > PAIRED)
+    smaller = F.collect_list(F.when(~long_, F.struct("sid", "m"))).over(by_size.rowsBetween(1 - PAIRED, -1))
+    n = lambda m: F.floor(m / 2)
+    # The smaller set has the shingle early (m even); of two sets of one size, both have.
+    close = lambda x: (x["m"] % 2 == 0) & (n(x["m"]) * 100 >= n(F.col("m")) * percent) & ((F.col("m") % 2 == 0) | (x["m"] < F.col("m") - 1))
+    none = F.lit(None)
+    row = lambda a, b, h, salt, m: F.struct(a.alias("a"), b.cast("long").alias("b"), h.cast("long").alias("h"), salt.cast("int").alias("salt"), m.alias("m"))
+    pairs = F.transform(F.filter("smaller", close), lambda x: row(x["sid"], F.col("sid"), none, none, x["m"]))
+    own = F.array(row(F.col("sid"), none, F.col("h"), F.col("salt"), F.col("m")))
+    return rows.withColumn("smaller", smaller).select(F.inline(F.when(long_, own).otherwise(pairs)))
+
+
 def chained(lists: DataFrame, by: list[str], percent: int) -> DataFrame:
     """`lists` with p: the last early set before a set in its list, by size; null where their sizes allow no link.
 
-    The smaller set of a link has its first shared shingle early (m even), so both sets of a link hang on one
+    The smaller set of a link has the shared shingle early (m even), so both sets of a link hang on one
     chain of early sets: what lies between them in size is close enough in size too."""
     by_size = Window.partitionBy(*by).orderBy("m", "sid")
     early = F.when(F.col("m") % 2 == 0, F.struct("sid", "m"))
@@ -161,14 +198,23 @@ def chained(lists: DataFrame, by: list[str], percent: int) -> DataFrame:
 
 
 def family_edges(prefixes: DataFrame, percent: int, hot: bool) -> DataFrame:
-    """(src, dst): each set with the one it is chained to. If any list is `hot`, its parts are chained to one another by
-    one set of each size and part."""
+    """(src, dst): pairs that share enough in short lists, and each set that has enough long ones with those it is chained
+    to there. If any list is `hot`, its parts are chained to one another by one set of each size and part.
+
+    Of the k = shared_least(n) that a link of a set of n with a larger one needs, either _half(n) stand in short
+    lists, or as many in long ones; the larger set is held to the half of the smallest set it may link with."""
     edges = lambda x: x.where("p is not null").select(F.col("p").alias("src"), F.col("sid").alias("dst"))
+    found = cut(met(prefixes, percent))
+    paired = found.where("b is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("held"), F.first("m").alias("m"))
+    paired = paired.where(F.col("held") >= _half(F.col("m") / 2)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    least = F.ceil(F.floor(F.col("m") / 2) * percent / 100)
+    rows = found.where("b is null").withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("a")))
+    lists = rows.where(F.col("held") >= _half(least)).select("h", "salt", F.col("a").alias("sid"), "m")
     if not hot:
-        return edges(chained(prefixes, ["h"], percent)).distinct()
-    parts = cut(chained(prefixes, ["h", "salt"], percent).where("p is not null or (salt >= 0 and not coalesce(again, false))"))
+        return paired.union(edges(chained(lists, ["h"], percent))).distinct()
+    parts = cut(chained(lists, ["h", "salt"], percent).where("p is not null or (salt >= 0 and not coalesce(again, false))"))
     heads = parts.where("salt >= 0 and not coalesce(again, false)").select("h", "sid", "m")
-    return edges(parts).union(edges(chained(heads, ["h"], percent))).distinct()
+    return paired.union(edges(parts)).union(edges(chained(heads, ["h"], percent))).distinct()
 
 
 def _bloom_bits(ids: np.ndarray, bits: int) -> np.ndarray:

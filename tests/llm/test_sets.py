@@ -155,6 +155,30 @@ def test_jaccard_components_against_brute_force(spark, monkeypatch, block, small
     assert sorted(tuple(r) for r in jaccard.jaccard_components(frame).collect()) == brute_components(texts)
 
 
+@pytest.mark.parametrize(("paired", "listed"), [(1, 1 << 18), (2, 1 << 18), (2, 3), (8, 1 << 18)])
+def test_every_link_is_within_a_family(spark, monkeypatch, paired, listed):
+    """Whether the shingles that two sets share stand in short lists, long ones or both, in any order."""
+    monkeypatch.setattr(jaccard, "PAIRED", paired)
+    monkeypatch.setattr(jaccard, "LIST", listed)
+    texts = near_texts()
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    order = np.random.default_rng(paired).integers(0, 30, jaccard.CELLS).astype(np.uint8)
+    edges = jaccard.family_edges(jaccard.prefix_rows(frame, order, 5, 75), 75, bool((jaccard.parts_of(order) > 1).any()))
+    family = {r.node: r.component for r in jaccard.connected_components(edges).collect()}
+    sid = [jaccard._set_id(s)[0] for s in shingle_sets(texts, 5)]
+    links = [(sid[i], sid[root]) for i, n, root in brute_components(texts) if n and sid[i] != sid[root]]
+    assert links and all(family[a] == family[b] for a, b in links)
+
+
+def test_sets_that_meet_by_chance_make_no_family(spark):
+    """In a large collection each set shares some shingle with some other, so that such chains would hold all of them."""
+    words = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    texts = [f"{words(k, 90)} {words(-k, 6)} {words(-k - 1, 6)}" for k in range(1, 61)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    order = np.zeros(jaccard.CELLS, np.uint8)  # as where every cell of the sketch is full
+    assert jaccard.family_edges(jaccard.prefix_rows(frame, order, 5, 75), 75, False).count() == 0
+
+
 def test_jaccard_edges(spark):
     rows = [(None, "a b c d e f g", 1), (3, "a b c d e f g", 1), (3, "a b c d e f g", 1), (9, None, 1), (None, "q r s t u v", 1)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, n int")
