@@ -7,14 +7,16 @@ first path."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import hamming, hash_slice, known, slices, utf16_length
+from ..functions.columns import hash_slice, known, slices, utf16_length
 from ..plans.shared import cut
 from .components import connected_components
 
@@ -23,6 +25,10 @@ RADIUS = 5
 TILE = 8192
 #: Hashes up to which the few wide slices are the cheaper blocking.
 FEW = 50_000
+#: Hashes of one key that are compared one by one; more are blocked again by their other bits.
+CROWD = 512
+#: Rows that a task sorts into keys and compares at once.
+ROWS = 1 << 20
 
 
 def keeper_order() -> Column:
@@ -43,17 +49,21 @@ def exact_tier(items: DataFrame) -> DataFrame:
     return joined.withColumn("representative", F.coalesce("keeper", "path")).drop("keeper")
 
 
+def _key_slices(radius: int, scheme: str) -> list[list[tuple[int, int]]]:
+    """The slices (offset, width) that each key consists of."""
+    if scheme == "slices":
+        return [[part] for part in slices(64, radius + 1)]
+    if scheme == "triples" and radius <= 5:
+        return [list(c) for c in combinations(slices(64, 8), 3)]
+    raise ValueError(f"no blocking {scheme!r} for radius {radius}")
+
+
 def blocking_keys(h: Column, radius: int, scheme: str) -> Column:
     """array of (part, value) such that hashes within `radius` bits share one: by the pigeonhole principle.
 
     "slices": radius + 1 slices, one of which stays clean. "triples": 8 slices, of which any radius up to 5 leaves
     three clean, so one key per three slices: more keys, each 24 bits wide and so far more selective."""
-    if scheme == "slices":
-        keys = [[part] for part in slices(64, radius + 1)]
-    elif scheme == "triples" and radius <= 5:
-        keys = [list(c) for c in combinations(slices(64, 8), 3)]
-    else:
-        raise ValueError(f"no blocking {scheme!r} for radius {radius}")
+    keys = _key_slices(radius, scheme)
 
     def value(parts: list[tuple[int, int]]) -> Column:
         out = F.lit(0).cast("long")
@@ -64,23 +74,93 @@ def blocking_keys(h: Column, radius: int, scheme: str) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("part"), value(parts).alias("value")) for k, parts in enumerate(keys)])
 
 
+def _close_pairs(h: np.ndarray, key: np.ndarray, fixed: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs within `radius` bits among the hashes of equal key, `h` (distinct) being sorted by `key`; `fixed` are the bits
+    on which hashes of a key agree. A crowded key is blocked by slices of its other bits, one of which stays clean."""
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    ends = np.append(starts[1:], len(h))
+    crowded = ends - starts > CROWD
+    last = np.repeat(np.where(crowded, starts, ends - 1), ends - starts)
+    at, d = np.flatnonzero(np.arange(len(h)) < last), 1
+    while len(at):
+        near = at[np.bitwise_count(h[at] ^ h[at + d]) <= radius]
+        if len(near):
+            yield h[near], h[near + d]
+        d += 1
+        at = at[at + d <= last[at]]
+    for s, e in zip(starts[crowded].tolist(), ends[crowded].tolist(), strict=True):
+        part = h[s:e]
+        bits = [b for b in range(64) if not fixed >> b & 1]
+        if len(bits) <= 2 * (radius + 1):  # few distinct hashes are left
+            for k in range(len(part) - 1):
+                near = part[k + 1 :][np.bitwise_count(part[k + 1 :] ^ part[k]) <= radius]
+                yield np.full(len(near), part[k]), near
+            continue
+        masks = [sum(1 << b for b in bits[k :: radius + 1]) for k in range(radius + 1)]
+        for k, mask in enumerate(masks):
+            value = part & np.uint64(mask)
+            order = np.argsort(value)
+            for a, b in _close_pairs(part[order], value[order], fixed | mask, radius):
+                first = _first_shared(a ^ b, masks[:k])
+                yield a[first], b[first]
+
+
+def _first_shared(differing: np.ndarray, earlier: list[int]) -> np.ndarray:
+    """Whether pairs with these bits `differing` share none of the `earlier` keys."""
+    first = np.ones(len(differing), bool)
+    for mask in earlier:
+        first &= (differing & np.uint64(mask)) != 0
+    return first
+
+
 def near_pairs(hashes: DataFrame, radius: int = RADIUS, scheme: str | None = None) -> DataFrame:
     """(a, b), a < b: all pairs of distinct hashes (column `h`) within `radius` bits.
 
-    An equi-join on blocking keys with the distance as residual predicate. Equal hashes are one vertex, so copies
-    cannot make a hot key; a pair that shares several keys is reported at its first shared one only, which needs
-    no distinct over the candidates. Without a `scheme`, more than FEW hashes are blocked by "triples": "slices" gives
-    about n * n / 512 candidates."""
-    distinct = hashes.select("h").where("h is not null").distinct()
+    Hashes are dealt by blocking keys, and those of one key compared in arrays; a key of many hashes is blocked again by
+    the other bits, so its work is far below its pairs. Equal hashes are one vertex, so copies cannot make a hot key; a
+    pair that shares several keys is reported at its first shared one only, which needs no distinct over the
+    candidates. Without a `scheme`, more than FEW hashes are blocked by "triples": more keys, with fewer hashes each."""
+    distinct = cut(hashes.select("h").where("h is not null").distinct())
     if scheme is None:
-        distinct = cut(distinct)
         scheme = "triples" if radius <= 5 and distinct.count() > FEW else "slices"
-    keyed = distinct.withColumn("keys", blocking_keys(F.col("h"), radius, scheme))
-    left = keyed.select(F.col("h").alias("a"), F.col("keys").alias("a_keys"), F.explode("keys").alias("key"))
-    right = keyed.select(F.col("h").alias("b"), F.col("keys").alias("b_keys"), F.explode("keys").alias("key"))
-    near = left.join(right, "key").where((F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= radius))
-    first = F.filter(F.arrays_zip("a_keys", "b_keys"), lambda z: z["a_keys"] == z["b_keys"])[0]["a_keys"]
-    return near.where(first == F.col("key")).select("a", "b")
+    masks = [sum(((1 << width) - 1) << offset for offset, width in key) for key in _key_slices(radius, scheme)]
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(0).to_numpy()
+            for part, mask in enumerate(masks):
+                value = h & np.uint64(mask).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), part, np.int32)), pa.array(value), pa.array(h)], names=["part", "value", "h"])
+
+    def compared(part: np.ndarray, value: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]).tolist()
+        for s, e in zip(edges[:-1], edges[1:], strict=True):
+            k = int(part[s])
+            for a, b in _close_pairs(h[s:e].view(np.uint64), value[s:e], masks[k], radius):
+                first = _first_shared(a ^ b, masks[:k])
+                a, b = a[first].view(np.int64), b[first].view(np.int64)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        rows, limit = 0, ROWS
+        for batch in batches:
+            held.append([c.to_numpy() for c in batch.columns])
+            rows += batch.num_rows
+            if rows >= limit:  # the last key may go on
+                part, value, h = (np.concatenate(c) for c in zip(*held, strict=True))
+                goes_on = (part == part[-1]) & (value == value[-1])
+                whole = int(goes_on.argmax())
+                if whole:
+                    yield from compared(part[:whole], value[:whole], h[:whole])
+                held, rows = [[part[whole:], value[whole:], h[whole:]]], len(h) - whole
+                limit = max(ROWS, 2 * rows)
+        if rows:
+            yield from compared(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    dealt = distinct.mapInArrow(keyed, "part int, value long, h long").repartition("part", "value").sortWithinPartitions("part", "value")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def distance_counts(hashes: DataFrame, tile: int = TILE) -> DataFrame:

@@ -14,6 +14,7 @@ from .functions import content
 from .model import Collision, NoDate, Settings
 from .operators import dedup, fpcache, layout
 from .operators.components import connected_components
+from .plans.shared import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -199,7 +200,7 @@ def hamming_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stand_ins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    exact = dedup.exact_tier(_documents(spark, sf_dir))
+    exact = dedup.exact_tier(cut(_documents(spark, sf_dir)))  # written, as both sides of the tier's join read it
     return exact.where("representative = path and perceptual_hash is not null").select(F.col("perceptual_hash").alias("h"))
 
 
@@ -220,12 +221,12 @@ def near_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {DOCS_SQL}, {CLUSTER_SQL} SELECT doc_id, is_duplicate, keeper_path, tier FROM result")
 def dedup_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.deduplicate(_documents(spark, sf_dir)).select("doc_id", "is_duplicate", "keeper_path", "tier")
+    return dedup.deduplicate(cut(_documents(spark, sf_dir))).select("doc_id", "is_duplicate", "keeper_path", "tier")
 
 
 @query(f"WITH RECURSIVE {DOCS_SQL}, {CLUSTER_SQL} SELECT count(*) AS total, count(*) FILTER (NOT is_duplicate) AS keepers, count(*) FILTER (is_duplicate) AS duplicates FROM result")
 def dedup_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.summary(dedup.deduplicate(_documents(spark, sf_dir)))
+    return dedup.summary(dedup.deduplicate(cut(_documents(spark, sf_dir))))
 
 
 @query("""SELECT doc_id, first_value('/docs/' || doc_id || '.txt') OVER (PARTITION BY n_chars, md5(text), CASE WHEN doc_id % 3 = 0 THEN doc_id ELSE -1 END

@@ -4,6 +4,7 @@ import pytest
 from fernglass.model import ITEM
 from fernglass.operators import dedup
 from fernglass.operators.components import connected_components
+from pyspark.sql import functions as F
 
 
 def items(spark, rows):
@@ -54,6 +55,26 @@ def test_pairs_against_brute_force(spark, scheme):
     assert want and sorted((r.a, r.b) for r in found) == sorted(want)
 
 
+@pytest.mark.parametrize("scheme", ["slices", "triples"])
+def test_pairs_of_crowded_keys(spark, monkeypatch, scheme):
+    """Keys that many hashes share are blocked again, and keys go on over the rows that a task holds at once."""
+    monkeypatch.setattr(dedup, "CROWD", 3)
+    monkeypatch.setattr(dedup, "ROWS", 50)
+    draw = random.Random(8)
+    hashes = [draw.getrandbits(30) << draw.choice([0, 20, 34]) for _ in range(150)] + list(range(70))
+    hashes += [h ^ 1 << draw.randrange(64) ^ 1 << draw.randrange(64) for h in hashes]
+    distinct = sorted({h - (1 << 64) if h >> 63 else h for h in hashes})
+    found = dedup.near_pairs(spark.createDataFrame([(h,) for h in distinct], "h long"), scheme=scheme).collect()
+    want = [(a, b) for i, a in enumerate(distinct) for b in distinct[i + 1 :] if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 5]
+    assert len(want) > 2000 and sorted((r.a, r.b) for r in found) == sorted(want)
+
+
+def test_no_hash_travels_with_its_keys(spark):
+    """What is dealt is a key and a hash: 20 bytes, and a plan without a join of lists of keys."""
+    plan = dedup.near_pairs(spark.range(9).select(F.col("id").alias("h")), scheme="triples")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "array" not in plan and "Generate" not in plan
+
+
 def test_components_of_a_chain_and_a_hub(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)] + [(7, 7), (None, 3)]
     found = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
