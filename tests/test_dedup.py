@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from fernglass import queries
 from fernglass.model import ITEM
 from fernglass.operators import dedup
 from fernglass.operators.components import connected_components
@@ -83,3 +84,9 @@ def test_components_of_a_chain_and_a_hub(spark):
 
 def test_no_edges_no_components(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_near_components_reads_documents_once(spark):
+    """Both sides of the exact tier's join go by a written table of items, not by two computations of it."""
+    files = queries._stand_ins(spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and not any("documents.parquet" in f for f in files)
