@@ -90,3 +90,12 @@ def test_near_components_reads_documents_once(spark):
     """Both sides of the exact tier's join go by a written table of items, not by two computations of it."""
     files = queries._stand_ins(spark, "/root/testdata/sf0.001").inputFiles()
     assert files and not any("documents.parquet" in f for f in files)
+
+
+@pytest.mark.parametrize("name", ["dedup_full", "dedup_summary"])
+def test_deduplication_takes_written_items(spark, monkeypatch, name):
+    given = []
+    whole = dedup.deduplicate
+    monkeypatch.setattr(dedup, "deduplicate", lambda items: given.append(items.inputFiles()) or whole(items))
+    assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() in (1, 200)
+    assert given[0] and not any("documents.parquet" in f for f in given[0])
