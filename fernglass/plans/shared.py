@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _own: list[tempfile.TemporaryDirectory] = []
+#: Whether a query's shuffle files go as soon as it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,7 +27,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and read it back: later stages and retries start from the files, so a
-    lost executor never means computing the whole lineage again."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    lost executor never means computing the whole lineage again.
+
+    Nothing goes back behind the files, so the shuffles that led to them are removed; otherwise they would stay on the
+    executors' disks until the driver happens to collect its garbage."""
+    spark = df.sparkSession
+    path = shared_dir(spark)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
