@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 _own: list[tempfile.TemporaryDirectory] = []
 #: Whether a query's shuffle files go as soon as it has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: The driver's heap is collected where it takes more than one part in so many of what it may take.
+_HEAP = 3
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,4 +44,14 @@ def cut(df: DataFrame) -> DataFrame:
             spark.conf.unset(_CLEANUP)
         else:
             spark.conf.set(_CLEANUP, before)
+    _shrink(spark)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _shrink(spark: SparkSession) -> None:
+    """Give back what the plans and tasks of ended jobs took of the driver's memory: a heap that has grown stays so until
+    a full collection, and the next job's garbage comes on top of it."""
+    jvm = spark.sparkContext._jvm
+    runtime = jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() * _HEAP > runtime.maxMemory():
+        jvm.java.lang.System.gc()

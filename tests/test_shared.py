@@ -17,3 +17,12 @@ def _each(files):
     at = files.iterator()
     while at.hasNext():
         yield at.next()
+
+
+def test_a_grown_heap_is_given_back(spark, monkeypatch):
+    factory = spark.sparkContext._jvm.java.lang.management.ManagementFactory
+    full = lambda: sum(b.getCollectionCount() for b in factory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    monkeypatch.setattr(shared, "_HEAP", 1 << 20, raising=False)
+    before = full()
+    shared.cut(spark.range(5))
+    assert full() > before
