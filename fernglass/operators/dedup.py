@@ -74,13 +74,19 @@ def blocking_keys(h: Column, radius: int, scheme: str) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("part"), value(parts).alias("value")) for k, parts in enumerate(keys)])
 
 
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values start, and how long they are."""
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return starts, np.diff(np.append(starts, len(key)))
+
+
 def _close_pairs(h: np.ndarray, key: np.ndarray, fixed: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs within `radius` bits among the hashes of equal key, `h` (distinct) being sorted by `key`; `fixed` are the bits
-    on which hashes of a key agree. A crowded key is blocked by slices of its other bits, one of which stays clean."""
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    ends = np.append(starts[1:], len(h))
-    crowded = ends - starts > CROWD
-    last = np.repeat(np.where(crowded, starts, ends - 1), ends - starts)
+    on which hashes of a key agree. Crowded keys are blocked together by slices of their other bits, one of which stays
+    clean; a key to which that leaves half of its pairs or more is compared as it is, so no pair is looked at over and over."""
+    starts, sizes = _runs(key)
+    crowded = sizes > CROWD
+    last = np.repeat(starts + np.where(crowded, 0, sizes - 1), sizes)
     at, d = np.flatnonzero(np.arange(len(h)) < last), 1
     while len(at):
         near = at[np.bitwise_count(h[at] ^ h[at + d]) <= radius]
@@ -88,21 +94,40 @@ def _close_pairs(h: np.ndarray, key: np.ndarray, fixed: int, radius: int) -> Ite
             yield h[near], h[near + d]
         d += 1
         at = at[at + d <= last[at]]
-    for s, e in zip(starts[crowded].tolist(), ends[crowded].tolist(), strict=True):
-        part = h[s:e]
-        bits = [b for b in range(64) if not fixed >> b & 1]
-        if len(bits) <= 2 * (radius + 1):  # few distinct hashes are left
-            for k in range(len(part) - 1):
-                near = part[k + 1 :][np.bitwise_count(part[k + 1 :] ^ part[k]) <= radius]
-                yield np.full(len(near), part[k]), near
-            continue
-        masks = [sum(1 << b for b in bits[k :: radius + 1]) for k in range(radius + 1)]
-        for k, mask in enumerate(masks):
-            value = part & np.uint64(mask)
-            order = np.argsort(value)
-            for a, b in _close_pairs(part[order], value[order], fixed | mask, radius):
-                first = _first_shared(a ^ b, masks[:k])
-                yield a[first], b[first]
+    if not crowded.any():
+        return
+    part, sizes = h[np.repeat(crowded, sizes)], sizes[crowded]
+    bits = [b for b in range(64) if not fixed >> b & 1]
+    masks = [sum(1 << b for b in bits[k :: radius + 1]) for k in range(radius + 1)]
+    own = np.repeat(np.arange(len(sizes)), sizes)
+    left = np.zeros(len(sizes))
+    for mask in masks:
+        value = part & np.uint64(fixed | mask)
+        order = np.argsort(value)
+        at, n = _runs(value[order])
+        left += np.bincount(own[order[at]], n * (n - 1) / 2, len(sizes))
+    again = 2 * left < sizes * (sizes - 1) / 2
+    ends = np.cumsum(sizes)
+    for k in np.flatnonzero(~again).tolist():
+        yield from _all_close_pairs(part[ends[k] - sizes[k] : ends[k]], radius)
+    if not again.any():
+        return
+    part = part[again[own]]
+    for k, mask in enumerate(masks):
+        value = part & np.uint64(fixed | mask)
+        order = np.argsort(value)
+        for a, b in _close_pairs(part[order], value[order], fixed | mask, radius):
+            first = _first_shared(a ^ b, masks[:k])
+            yield a[first], b[first]
+
+
+def _all_close_pairs(h: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs within `radius` bits among all of `h`, in tiles that stay in a processor's cache."""
+    for s in range(0, len(h), 256):
+        for t in range(s, len(h), 2048):
+            i, j = np.nonzero(np.bitwise_count(h[s : s + 256, None] ^ h[t : t + 2048]) <= radius)
+            once = s + i < t + j
+            yield h[s + i[once]], h[t + j[once]]
 
 
 def _first_shared(differing: np.ndarray, earlier: list[int]) -> np.ndarray:
@@ -117,7 +142,7 @@ def near_pairs(hashes: DataFrame, radius: int = RADIUS, scheme: str | None = Non
     """(a, b), a < b: all pairs of distinct hashes (column `h`) within `radius` bits.
 
     Hashes are dealt by blocking keys, and those of one key compared in arrays; a key of many hashes is blocked again by
-    the other bits, so its work is far below its pairs. Equal hashes are one vertex, so copies cannot make a hot key; a
+    the other bits where that leaves fewer pairs to look at. Equal hashes are one vertex, so copies cannot make a hot key; a
     pair that shares several keys is reported at its first shared one only, which needs no distinct over the
     candidates. Without a `scheme`, more than FEW hashes are blocked by "triples": more keys, with fewer hashes each."""
     distinct = cut(hashes.select("h").where("h is not null").distinct())

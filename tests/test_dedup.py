@@ -1,5 +1,7 @@
 import random
+from itertools import combinations
 
+import numpy as np
 import pytest
 from fernglass import queries
 from fernglass.model import ITEM
@@ -70,6 +72,17 @@ def test_pairs_of_crowded_keys(spark, monkeypatch, scheme):
     assert len(want) > 2000 and sorted((r.a, r.b) for r in found) == sorted(want)
 
 
+def test_dense_keys_are_not_compared_over_and_over(monkeypatch):
+    """Hashes of few bits share most of their slices: blocking them again would look at the same pairs in each of those."""
+    h = np.array([sum(1 << b for b in on) for n in range(4) for on in combinations(range(24), n)], np.uint64)
+    compared, count = [], np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda x: compared.append(x.size) or count(x))
+    found = [p for a, b in dedup._close_pairs(h, np.zeros_like(h), (1 << 64) - (1 << 24), 5) for p in zip(a.tolist(), b.tolist(), strict=True)]
+    want = [(a, b) for a, b in combinations(h.tolist(), 2) if (a ^ b).bit_count() <= 5]
+    assert sorted((min(p), max(p)) for p in found) == sorted((min(p), max(p)) for p in want)
+    assert sum(compared) <= len(h) ** 2
+
+
 def test_no_hash_travels_with_its_keys(spark):
     """What is dealt is a key and a hash: 20 bytes, and a plan without a join of lists of keys."""
     plan = dedup.near_pairs(spark.range(9).select(F.col("id").alias("h")), scheme="triples")._jdf.queryExecution().optimizedPlan().toString()
